@@ -1,0 +1,11 @@
+"""Catalogue of the engine's queries over the driver tables."""
+
+FLAGSHIP = "agg_avg_by_nation"
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
