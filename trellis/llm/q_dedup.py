@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import substring, suffix_dedup
+from trellis.llm import jaccard, substring, suffix_dedup
 from trellis.llm.q_text import table
 
 
@@ -19,5 +19,9 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_substring_dedup": op3_substring_dedup}
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_ngram_jaccard": op4_ngram_jaccard, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_substring_dedup": op3_substring_dedup}
 ORACLE_SQL: dict[str, str] = {}
