@@ -100,10 +100,18 @@ class Words:
         data = self.data
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-        n = len(data)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[data] * powers(_BASE, n), out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * powers(inverse(_BASE), n + 1)[self.starts] + (self.ends - self.starts).astype(U64))
+        out = np.empty(len(self.starts), U64)
+        i = 0
+        while i < len(out):  # about a megabyte at a time, so that the prefix sums stay small
+            low = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.starts, low + (1 << 20))))
+            part = data[low : int(self.ends[j - 1])]
+            sums = np.zeros(len(part) + 1, U64)
+            np.cumsum(_BYTE[part] * powers(_BASE, len(part)), out=sums[1:])
+            begin, end = self.starts[i:j] - low, self.ends[i:j] - low
+            out[i:j] = mix((sums[end] - sums[begin]) * powers(inverse(_BASE), len(part) + 1)[begin] + (end - begin).astype(U64))
+            i = j
+        return out
 
     def grams(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of ``size`` words inside one document."""
@@ -117,14 +125,6 @@ class Words:
         return inside, mix((sums[inside + size] - sums[inside]) * powers(inverse(_WORD_BASE), n + 1)[inside])
 
 
-def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
-    """Which of n cells lie in a run of ``size`` cells that begins at one of ``starts``."""
-    edge = np.zeros(n + size + 1, np.int32)
-    np.add.at(edge, starts, 1) if len(starts) < 64 else np.add(edge[:n], np.bincount(starts, minlength=n)[:n], out=edge[:n], casting="unsafe")
-    edge[size : n + size] -= edge[:n].copy()
-    return np.cumsum(edge[:n]) > 0
-
-
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which keys occur more than once."""
     if not len(keys):
@@ -140,12 +140,3 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 def packed(*columns: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
-
-
-def blobs_by(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that groups keys by ``keys % buckets``, and the buckets present with their bounds."""
-    to = (keys % U64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    ranked = to[order]
-    cuts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
-    return order, ranked[cuts], np.r_[cuts, len(ranked)]
