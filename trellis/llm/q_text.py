@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trellis.llm import quality
+from trellis.llm import pieces, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    decoded = pieces.decode(encoded)
+    same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), pieces.digest("ids").alias("pieces_sha256"), same.alias("round_trip"))
+
+
 #: DuckDB: the words of a text, and its lines that hold a word.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -50,5 +62,5 @@ with words as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as pos
 select *, not base_failed and not ({checks}) as kept from judged"""
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
+QUERIES = {"op6_token_counts": op6_token_counts, "op8_sentencepiece": op8_sentencepiece, "op7_quality_rules": op7_quality_rules}
 ORACLE_SQL = {"op7_quality_rules": _quality_sql()}
