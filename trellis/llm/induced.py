@@ -89,10 +89,32 @@ class SuffixQueue:
             self.file.close()
 
 
-def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int = CAP) -> np.ndarray:
-    """Common prefix lengths of the suffixes at a and b, up to ``cap``."""
+def eights(text: np.ndarray) -> np.ndarray | None:
+    """Eight symbols at each position as an integer, where a symbol fits a byte; zeros stand after the end."""
+    if text.dtype != np.uint8 or isinstance(text, np.memmap):
+        return None
+    raw, out = text.tobytes() + bytes(16), np.empty(len(text) + 8, np.uint64)
+    for j in range(8):
+        part = out[j::8]
+        part[:] = np.frombuffer(raw, "<u8", (len(raw) - j) // 8, j)[: len(part)]
+    return out
+
+
+def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int = CAP, wide: np.ndarray | None = None) -> np.ndarray:
+    """Common prefix lengths of the suffixes at a and b, up to ``cap``; ``wide``: the text's eights."""
     n, out = len(text), np.zeros(len(a), np.int16)
     live = np.arange(len(a))
+    if wide is not None:
+        most = np.minimum(n - np.maximum(a, b), cap).astype(np.int16)
+        for j in range(0, cap, 8):
+            x = wide[np.minimum(a[live] + j, n)] ^ wide[np.minimum(b[live] + j, n)]
+            low = x & (~x + np.uint64(1))
+            same = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) >> 3)
+            out[live] += same.astype(np.int16)
+            live = live[(same == 8) & (out[live] < most[live])]
+            if not len(live):
+                break
+        return np.minimum(out, most)
     for j in range(cap):
         x, y = a[live] + j, b[live] + j
         inside = np.maximum(x, y) < n
@@ -104,21 +126,30 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int = CAP) -> np
     return out
 
 
+def _positions(n: int) -> np.ndarray:
+    return np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+
+
 def _is_s(text: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than their successor; the end of the text is less than any symbol."""
     n = len(text)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1].astype(np.int64))
+    step[:-1] = (text[1:] > text[:-1]).view(np.int8) - (text[1:] < text[:-1]).view(np.int8)
     step[-1] = -1
-    decided = np.where(step != 0, np.arange(n), n)
+    decided = np.where(step != 0, _positions(n), _positions(1)[0] + n)
     return step[np.minimum.accumulate(decided[::-1])[::-1]] > 0
 
 
+def _lms(s: np.ndarray) -> np.ndarray:
+    found = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    return found.astype(np.int32) if len(s) < 1 << 31 else found
+
+
 class _Pass:
     """One induction pass."""
 
-    def __init__(self, text: np.ndarray, memory: int, folder: str | None, descending: bool, with_lcp: bool, sigma: int):
-        self.text, self.down = text, descending
+    def __init__(self, text: np.ndarray, memory: int, folder: str | None, descending: bool, with_lcp: bool, sigma: int, cap: int):
+        self.text, self.down, self.cap = text, descending, cap
         self.queue = SuffixQueue(memory, folder, descending)
         self.carry = np.full(sigma, _NONE, np.int32) if with_lcp else None
         self.begun = np.zeros(sigma, bool) if with_lcp else None
@@ -145,27 +176,27 @@ class _Pass:
                 last = int(at[-1])
                 value = np.minimum.reduceat(lcp[: last + 1], np.r_[0, at[:-1] + 1])
                 value[0] = min(int(value[0]), int(old[t])) if self.begun[t] else -1
-                value = np.minimum(value + 1, CAP).astype(np.int16)
+                value = np.minimum(value + 1, self.cap).astype(np.int16)
                 self.begun[t] = True
                 self.carry[t] = int(lcp[last + 1 :].min()) if last + 1 < len(lcp) else _NONE
             self.queue.push(t, pos[at] - 1, value)
 
 
-def _one(text: np.ndarray, a: int, b: int) -> int:
-    return int(common(text, np.array([a]), np.array([b]))[0])
+def _one(text: np.ndarray, a: int, b: int, cap: int) -> int:
+    return int(common(text, np.array([a]), np.array([b]), cap)[0])
 
 
-def _induce(text: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarray | None, memory: int, folder: str | None, sigma: int):
+def _induce(text: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarray | None, memory: int, folder: str | None, sigma: int, cap: int = CAP):
     """Buckets of L-suffixes (ascending) and S-suffixes (descending) induced from leftmost-S suffixes in their order."""
     with_lcp = lms_lcp is not None
     heads = text[lms]
     cuts = np.r_[0, np.flatnonzero(heads[1:] != heads[:-1]) + 1, len(heads)] if len(heads) else np.zeros(1, np.int64)
     of = {int(heads[i]): (i, j) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
-    up = _Pass(text, memory, folder, False, with_lcp, sigma)
+    up = _Pass(text, memory, folder, False, with_lcp, sigma, cap)
     n = len(text)
     if with_lcp:
         up.begun[int(text[n - 1])] = True
-    up.queue.push(int(text[n - 1]), np.array([n - 1], np.int64), np.zeros(1, np.int16) if with_lcp else None)
+    up.queue.push(int(text[n - 1]), np.array([n - 1], lms.dtype), np.zeros(1, np.int16) if with_lcp else None)
     for symbol in of:
         up.queue.touch(symbol)
     larger: dict[int, tuple] = {}
@@ -181,10 +212,10 @@ def _induce(text: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarray | None, memor
             lcp = None
             if with_lcp:
                 lcp = lms_lcp[i:j].copy()
-                lcp[0] = _one(text, int(larger[c][0][-1]), int(lms[i])) if c in larger else 0
+                lcp[0] = _one(text, int(larger[c][0][-1]), int(lms[i]), cap) if c in larger else 0
             up.induce(c, lms[i:j], lcp, same=False)
     up.queue.close()
-    down = _Pass(text, memory, folder, True, with_lcp, sigma)
+    down = _Pass(text, memory, folder, True, with_lcp, sigma, cap)
     for symbol in larger:
         down.queue.touch(symbol)
     smaller: dict[int, tuple] = {}
@@ -199,7 +230,7 @@ def _induce(text: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarray | None, memor
         if c in larger:
             pos, lcp = larger[c]
             if with_lcp:
-                seams[c] = _one(text, int(pos[-1]), int(smaller[c][0][-1])) if c in smaller else 0
+                seams[c] = _one(text, int(pos[-1]), int(smaller[c][0][-1]), cap) if c in smaller else 0
                 lcp = np.r_[np.int16(seams[c]), lcp[:0:-1]]
             down.induce(c, pos[::-1], lcp, same=False)
     down.queue.close()
@@ -207,19 +238,31 @@ def _induce(text: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarray | None, memor
 
 
 def _sorted_small(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string that fits memory: ranks of prefixes doubled in length."""
-    rank, k, n = np.unique(names, return_inverse=True)[1].astype(np.int64), 1, len(names)
+    """Suffix order of a string that fits memory: prefixes doubled in length, only unsettled groups sorted again."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    head = np.r_[True, names[order[1:]] != names[order[:-1]]]
+    rank = np.empty(n, np.int64)  # of a group: the place of its first member
+    place = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    rank[order] = place
+    k = 1
     while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - k)] = rank[k:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]])
-        k *= 2
-        if int(rank.max(initial=0)) == n - 1:
+        tied = ~head | ~np.r_[head[1:], True]
+        at = np.flatnonzero(tied)
+        if not len(at):
             return order
+        who = order[at]
+        after = who + k
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = place[at] * (n + 2) + second
+        by = np.argsort(key)
+        who, key = who[by], key[by]
+        order[at] = who
+        first = np.r_[True, key[1:] != key[:-1]]
+        head[at] = first
+        place[at] = np.maximum.accumulate(np.where(first, at, 0))
+        rank[who] = place[at]
+        k *= 2
 
 
 def _file(folder: str | None, like: np.ndarray, memory: int) -> np.ndarray:
@@ -232,26 +275,32 @@ def _file(folder: str | None, like: np.ndarray, memory: int) -> np.ndarray:
     return mapped
 
 
-def _lms_order(text: np.ndarray, lms: np.ndarray, memory: int, folder: str | None, sigma: int) -> np.ndarray:
+def _lms_order(text: np.ndarray, lms: np.ndarray, memory: int, folder: str | None, sigma: int, wide: np.ndarray | None = None) -> np.ndarray:
     """Leftmost-S positions in the order of their suffixes."""
     if len(lms) < 2:
         return lms
     by_head = lms[np.argsort(text[lms], kind="stable")]
     _, smaller, _ = _induce(text, by_head, None, memory, folder, sigma)
-    is_lms = np.zeros(len(text), bool)
-    is_lms[lms] = True
-    found = [pos[::-1][is_lms[pos[::-1]]] for _, (pos, _) in sorted(smaller.items())]
+    number = np.full(len(text), -1, lms.dtype)
+    number[lms] = np.arange(len(lms), dtype=lms.dtype)
+    found = [pos[::-1][number[pos[::-1]] >= 0] for _, (pos, _) in sorted(smaller.items())]
     del smaller
     order = np.concatenate(found)
+    del found
+    of = number[order]
+    del number
     # names: adjacent substrings are equal if they have equal symbols up to and with the next leftmost-S position
-    after = np.r_[lms[1:], len(text)]
-    length = after[np.searchsorted(lms, order)] - order
+    after = np.r_[lms[1:], lms.dtype.type(len(text))]
+    length = after[of] - order
     a, b = order[:-1], order[1:]
     whole = length[:-1] == length[1:]
     ends = b + length[1:] >= len(text)
     ends |= a + length[:-1] >= len(text)
     same = np.zeros(len(a), bool)
     live = np.flatnonzero(whole & ~ends)
+    if wide is not None:
+        same[live] = common(text, a[live], b[live], int(length.max(initial=0)) + 1, wide) > length[1:][live]
+        live = live[:0]
     j = 0
     while len(live):
         live = live[text[a[live] + j] == text[b[live] + j]]
@@ -263,7 +312,7 @@ def _lms_order(text: np.ndarray, lms: np.ndarray, memory: int, folder: str | Non
     if rank[-1] == len(lms) - 1:
         return order
     names = np.empty(len(lms), np.int64)
-    names[np.searchsorted(lms, order)] = rank
+    names[of] = rank
     names = _file(folder, names, memory)
     if len(names) <= memory or folder is None:
         return lms[_sorted_small(names)]
@@ -275,28 +324,27 @@ def suffix_order(text: np.ndarray, memory: int, folder: str | None, sigma: int)
     if not len(text):
         return np.zeros(0, np.int64)
     s = _is_s(text)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    lms = _lms(s)
     larger, smaller, _ = _induce(text, _lms_order(text, lms, memory, folder, sigma), None, memory, folder, sigma)
-    none = (np.zeros(0, np.int64), None)
+    none = (np.zeros(0, lms.dtype), None)
     return np.concatenate([x for c in sorted({*larger, *smaller}) for x in (larger.get(c, none)[0], smaller.get(c, none)[0][::-1])])
 
 
-def suffix_sort(text: np.ndarray, memory: int = 1 << 26, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, common prefix with the suffix before, up to CAP) of a text of small non-negative integers."""
+def suffix_sort(text: np.ndarray, memory: int = 1 << 26, folder: str | None = None, cap: int = CAP) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, common prefix with the suffix before, up to ``cap``) of a text of small non-negative integers."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int16)
     sigma = int(text.max()) + 1
     text = _file(folder, text, memory)
-    s = _is_s(text)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    del s
-    lms = _lms_order(text, lms, memory, folder, sigma)
+    lms, wide = _lms(_is_s(text)), eights(text)
+    lms = _lms_order(text, lms, memory, folder, sigma, wide)
     lcp = np.zeros(len(lms), np.int16)
     if len(lms) > 1:
-        lcp[1:] = common(text, lms[:-1], lms[1:])
-    larger, smaller, seams = _induce(text, lms, lcp, memory, folder, sigma)
-    order, shared = np.empty(n, np.int64), np.empty(n, np.int16)
+        lcp[1:] = common(text, lms[:-1], lms[1:], cap, wide)
+    del wide
+    larger, smaller, seams = _induce(text, lms, lcp, memory, folder, sigma, cap)
+    order, shared = np.empty(n, lms.dtype), np.empty(n, np.int16)
     order, shared = _file(folder, order, memory), _file(folder, shared, memory)
     at = 0
     for c in sorted({*larger, *smaller}):

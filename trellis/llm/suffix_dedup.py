@@ -28,7 +28,7 @@ from trellis.llm.induced import CAP, suffix_sort
 from trellis.llm.rounds import Layout, Message, Spread, answer, bits, ids_of, runs, unit_of
 from trellis.llm.words import U64, flatten, inverse, mix, packed, powers, slices
 
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _LOW = U64((1 << 24) - 1)
 #: What an anchor weighs whose unit has it in 1, 2.., 8.., 64.. documents.
 _WEIGHTS = np.array([1, 2, 8, 64])
@@ -176,7 +176,7 @@ def _shard(length: int, memory: int):
             n, m = (int(x) for x in np.frombuffer(blob, np.int64, 2))
             ids.append(np.repeat(np.frombuffer(blob, np.int64, m, 16), np.frombuffer(blob, np.uint32, m, 16 + 8 * m)))
             sizes.append(np.frombuffer(blob, np.uint32, n, 16 + 12 * m).astype(np.int64))
-            texts.append(np.frombuffer(blob, np.uint8, offset=16 + 12 * m + 4 * n))
+            texts.append(np.frombuffer(pa.decompress(memoryview(blob)[16 + 12 * m + 4 * n :], int(sizes[-1].sum()), "zstd"), np.uint8))
             counts.append(n)
         owner, size = np.concatenate(ids), np.concatenate(sizes)
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].tobytes()), pa.py_buffer(np.concatenate(texts).tobytes())])
@@ -186,13 +186,14 @@ def _shard(length: int, memory: int):
         data, bounds = flatten(coded.dictionary)
         least = np.full(len(bounds) - 1, np.iinfo(np.int64).max)
         np.minimum.at(least, piece_of, owner)
-        # pieces one after another, each ended by symbol 0
-        text = np.zeros(len(data) + len(bounds) - 1, np.uint16)
+        # pieces one after another, each ended by symbol 0; no byte of UTF-8 is 255, so symbols fit a byte
         piece_size = np.diff(bounds)
-        text[np.arange(len(data)) + np.repeat(np.arange(len(piece_size)), piece_size)] = data.astype(np.uint16) + 1
+        wide = bool(len(data)) and int(data.max()) == 255
+        text = np.zeros(len(data) + len(bounds) - 1, np.uint16 if wide else np.uint8)
+        text[np.arange(len(data)) + np.repeat(np.arange(len(piece_size)), piece_size)] = data.astype(text.dtype) + text.dtype.type(1)
         begin = bounds[:-1] + np.arange(len(piece_size))
         with tempfile.TemporaryDirectory() as folder:
-            order, shared = suffix_sort(text, memory, folder)
+            order, shared = suffix_sort(text, memory, folder, length)
             order, shared = np.asarray(order), np.asarray(shared)
         n_strings = piece_size - length + 1
         piece_at = np.repeat(np.arange(len(begin)), piece_size + 1)
@@ -224,7 +225,7 @@ def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if not gram <= length <= CAP or gram < 8:
         raise ValueError("8 <= gram <= length <= CAP is needed")
-    layout = Layout(df, id_col, text_col, bucket_bytes=8 << 20)
+    layout = Layout(df, id_col, text_col, unit_bytes=3 << 20, bucket_bytes=4 << 20)
     buckets = layout.n_buckets
 
     def ask(docs: pa.Table) -> Iterable[Message]:
@@ -237,7 +238,7 @@ def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b, at in unit.spread.parts():
             ids, counts = runs(unit.least[at])
             size = np.diff(unit.piece_bounds)[at].astype(np.uint32)
-            yield unit_of(docs), b, 2, packed(np.array([len(at), len(ids)], np.int64), ids, counts, size, _concatenated(unit.piece_bounds, unit.pieces, at))
+            yield unit_of(docs), b, 2, packed(np.array([len(at), len(ids)], np.int64), ids, counts, size) + pa.compress(_concatenated(unit.piece_bounds, unit.pieces, at).tobytes(), "zstd", asbytes=True)
 
     def _pieces(docs: pa.Table, got: dict) -> _Unit:
         unit = _Unit(docs, length, gram)

@@ -102,9 +102,9 @@ class Words:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         out = np.empty(len(self.starts), U64)
         i = 0
-        while i < len(out):  # about a megabyte at a time, so that the prefix sums stay small
+        while i < len(out):  # a run at a time, so that the prefix sums stay in the cache
             low = int(self.starts[i])
-            j = max(i + 1, int(np.searchsorted(self.starts, low + (1 << 20))))
+            j = max(i + 1, int(np.searchsorted(self.starts, low + (1 << 18))))
             part = data[low : int(self.ends[j - 1])]
             sums = np.zeros(len(part) + 1, U64)
             np.cumsum(_BYTE[part] * powers(_BASE, len(part)), out=sums[1:])
