@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import pieces, quality, tokens
+from trellis.llm import html_text, pieces, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -62,5 +66,5 @@ with words as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as pos
 select *, not base_failed and not ({checks}) as kept from judged"""
 
 
-QUERIES = {"op6_token_counts": op6_token_counts, "op8_sentencepiece": op8_sentencepiece, "op7_quality_rules": op7_quality_rules}
+QUERIES = {"op2_html_extraction": op2_html_extraction, "op6_token_counts": op6_token_counts, "op8_sentencepiece": op8_sentencepiece, "op7_quality_rules": op7_quality_rules}
 ORACLE_SQL = {"op7_quality_rules": _quality_sql()}
