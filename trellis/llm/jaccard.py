@@ -254,3 +254,10 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     documents = found.filter("kind = 0").select("id", F.col("n").cast("long").alias("n_shingles"))
     joined = documents.join(final.withColumnRenamed("node", "id"), "id", "left")
     return joined.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
+    """The rows of ``df`` without those of linked documents other than the smallest id of their group."""
+    linked = link_documents(df, id_col, text_col, join)
+    gone = linked.filter(linked["component_id"] < linked[id_col]).select(F.col(id_col).alias("__gone")).distinct()
+    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")

@@ -31,12 +31,16 @@ Message = tuple[int, int, int, bytes]
 class Layout:
     """The documents of a run, dealt to units, and the number of buckets."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, unit_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, unit_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, carry: tuple[str, ...] = ()):
+        """``carry``: columns that stay with their document, as c0, c1, ... in the unit's table."""
         text = df[text_col].cast("string")
-        source = df.select(df[id_col].cast("long").alias("id"), text.alias("text"))
+        self.carried = [f"c{i}" for i in range(len(carry))]
+        more = [df[c].alias(name) for c, name in zip(carry, self.carried, strict=True)]
+        source = df.select(df[id_col].cast("long").alias("id"), text.alias("text"), *more)
+        self.carried_ddl = "".join(f", `{c}` {source.schema[name].dataType.simpleString()}" for c, name in zip(carry, self.carried, strict=True))
         total = text_bytes(source)
         self.n_units, self.n_buckets = units(total, unit_bytes), units(total, bucket_bytes)
-        self.docs = source.select(F.pmod(F.xxhash64("id"), F.lit(self.n_units)).cast("int").alias("g"), "id", "text")
+        self.docs = source.select(F.pmod(F.xxhash64("id"), F.lit(self.n_units)).cast("int").alias("g"), "id", "text", *self.carried)
 
     def ask(self, unit: Callable[[pa.Table], Iterable[Message]]) -> DataFrame:
         """Messages of each unit."""

@@ -23,6 +23,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trellis.llm.induced import CAP, suffix_sort
 from trellis.llm.rounds import Layout, Message, Spread, answer, bits, ids_of, runs, unit_of
@@ -217,16 +218,16 @@ def _shard(length: int, memory: int):
     return reply
 
 
-def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, hot: int = 256, memory: int = 1 << 24) -> DataFrame:
+def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, hot: int = 256, memory: int = 1 << 24, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept (binary), spans (removed runs of bytes).
 
-    ``length`` at most CAP; ``hot``: the occurrences from which a minimizer is split; ``memory``: symbols of a shard
+    Columns named in ``carry`` follow.  ``length`` at most CAP; ``hot``: the occurrences from which a minimizer is split; ``memory``: symbols of a shard
     that are sorted without disk.
     """
     if not gram <= length <= CAP or gram < 8:
         raise ValueError("8 <= gram <= length <= CAP is needed")
-    layout = Layout(df, id_col, text_col, unit_bytes=3 << 20, bucket_bytes=4 << 20)
-    buckets = layout.n_buckets
+    layout = Layout(df, id_col, text_col, unit_bytes=3 << 20, bucket_bytes=4 << 20, carry=carry)
+    buckets, carried = layout.n_buckets, layout.carried
 
     def ask(docs: pa.Table) -> Iterable[Message]:
         unit = _Unit(docs, length, gram)
@@ -263,11 +264,14 @@ def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         n = len(unit.data)
         edge = np.bincount(hit, minlength=n + length + 1).astype(np.int32)
         edge[length:] -= edge[:-length].copy()
-        return _kept(docs, unit, np.cumsum(edge)[:n] > 0, id_col)
+        found = _kept(docs, unit, np.cumsum(edge)[:n] > 0, id_col)
+        for c, name in zip(carry, carried, strict=True):
+            found = found.append_column(c, docs[name])
+        return found
 
     shared = answer(layout.ask(ask), _anchors(hot))
     found = answer(layout.join_ask(shared, send), _shard(length, memory))
-    schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<first: long, last: long>>"
+    schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<first: long, last: long>>" + layout.carried_ddl
     return layout.join(shared.unionByName(found), finish, schema)
 
 
@@ -288,3 +292,17 @@ def _kept(docs: pa.Table, unit: _Unit, removed: np.ndarray, id_col: str) -> pa.T
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_spans)], pa.int32()), spans)
     columns = [docs["id"].combine_chunks(), pa.array(np.diff(offsets), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), texts, lists]
     return pa.Table.from_arrays(columns, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+
+
+def _valid_utf8(column: F.Column) -> F.Column:
+    """Text without the replacement marks that broken characters become, unless they were there before."""
+    return F.replace(F.make_valid_utf8(column), F.lit("\ufffd"), F.lit(""))
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+    """``df`` with repeated strings cut from its texts; bytes of a cut character go, and rows that keep no word go."""
+    others = [c for c in df.columns if c not in (id_col, text_col)]
+    names = {c: f"__carried{i}" for i, c in enumerate(others)}
+    found = dedup_suffixes(df.withColumnsRenamed(names), id_col, text_col, length, carry=tuple(names.values()))
+    rows = found.withColumn("kept_text", _valid_utf8(F.col("kept").cast("string"))).filter(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select(*(F.col("kept_text" if c == text_col else names.get(c, c)).alias(c) for c in df.columns))
