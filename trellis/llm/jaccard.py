@@ -4,13 +4,13 @@
    log scale (a 32-bit key inside a bucket; a collision can only raise a count).
 2. Prefix.  A set is ordered rarest first; two sets that reach the threshold share a shingle among the first
    n - ceil(t n) + 1 of each.  Shingles that one set alone has cannot be shared and are left out, so most sets send
-   nothing.
-3. Candidates, first round: each set with the least set that has the same prefix shingle in its band of sizes; after
-   the length filter, the positional filter and the suffix filter (a Hamming bound from the counts of 16 hash ranges)
-   each pair is verified once on the whole texts.
-4. Components of the links.  Second round: every remaining pair of sets that share a prefix shingle and lie in different
-   components, but for pairs inside one component, which change nothing.  All others were linked or verified, so no
-   link between components is lost, and no group emits all its pairs.
+   nothing, and positions and lengths count the others only.
+3. Some rounds: each set is paired with the one leader (of its prefix shingles, in its band of sizes) that it shares
+   most prefix shingles with, of those in another component.  After the length filter, the positional filter and the
+   suffix filter (a bound on the overlap from the counts of 32 classes of shingles, by document count and hash) each pair is
+   verified once on the whole texts, and components grow by the links.
+4. Last round: every remaining pair of sets that share a prefix shingle and lie in different components.  All others
+   were verified or lie in one component, so no link between components is lost, and no group emits all its pairs.
 
 Leaders are found by partial aggregates and joined back, which adaptive execution can split, so a shingle that a third
 of all documents hold is no task of its own.
@@ -34,7 +34,8 @@ from trellis.llm.rounds import NO_ID, Layout, Message, Spread, answer, ids_of, u
 from trellis.llm.shared import materialize
 from trellis.llm.words import U64, Words, flatten, mix, packed, slices
 
-_RANGES = 16
+_CLASSES = 32
+_ROUNDS = 3
 _VERIFY_BYTES = 4 << 20
 
 
@@ -129,7 +130,7 @@ def _count(pairs: list[tuple[int, bytes]], bucket: int) -> Iterable[Message]:
         at += len(part)
 
 
-_FOUND = "kind int, id long, n int, other long, token long, pos int, ranges array<int>, text string"
+_FOUND = "kind int, id long, n int, other long, token long, pos int, m int, classes array<int>, text string"
 
 
 def _found(layout: Layout, join: Join) -> DataFrame:
@@ -157,10 +158,14 @@ def _found(layout: Layout, join: Join) -> DataFrame:
         pos = np.arange(len(order)) - np.repeat(start, count)
         owner = unit.set_of[order]
         sent = (pos < join.prefix(count)[owner]) & (rank[order] > 0)
-        token, place, owner = unit.set_keys[order][sent], pos[sent], owner[sent]
+        alone = np.bincount(unit.set_of, weights=rank == 0, minlength=len(count)).astype(np.int64)
+        token, owner = unit.set_keys[order][sent], owner[sent]
+        place = pos[sent] - alone[owner]
         active = np.unique(owner)
-        ranges = np.zeros((len(unit.reps), _RANGES), np.int64)
-        np.add.at(ranges, (unit.set_of, (unit.set_keys >> U64(60)).astype(np.int64)), 1)
+        classes = np.zeros((len(unit.reps), _CLASSES), np.int64)
+        common = rank > 0
+        kind = np.minimum(rank[common].astype(np.int64) - 1, 7) * 4 + (unit.set_keys[common] >> U64(62)).astype(np.int64)
+        np.add.at(classes, (unit.set_of[common], kind), 1)
         texts = docs["text"].combine_chunks().take(pa.array(unit.reps[active]))
         n_docs, n_copies, n_sent, n_active = docs.num_rows, len(unit.copies), len(token), len(active)
         nulls = pa.nulls
@@ -169,7 +174,7 @@ def _found(layout: Layout, join: Join) -> DataFrame:
             return pa.chunked_array([p.cast(kind) if isinstance(p, pa.Array) else pa.array(p).cast(kind) for p in parts], kind)
 
         ids = unit.ids
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n_active + 1) * _RANGES, pa.int32()), pa.array(ranges[active].ravel(), pa.int32()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n_active + 1) * _CLASSES, pa.int32()), pa.array(classes[active].ravel(), pa.int32()))
         size = unit.n[unit.reps]
         columns = [
             stack([np.repeat([0, 1, 2, 3], [n_docs, n_copies, n_sent, n_active])], pa.int32()),
@@ -178,21 +183,26 @@ def _found(layout: Layout, join: Join) -> DataFrame:
             stack([nulls(n_docs), ids[unit.rep[unit.copies]], nulls(n_sent), nulls(n_active)], pa.int64()),
             stack([nulls(n_docs), nulls(n_copies), token.view(np.int64), nulls(n_active)], pa.int64()),
             stack([nulls(n_docs), nulls(n_copies), place, nulls(n_active)], pa.int32()),
+            stack([nulls(n_docs), nulls(n_copies), (size - alone)[owner], nulls(n_active)], pa.int32()),
             stack([nulls(n_docs), nulls(n_copies), nulls(n_sent), lists], pa.list_(pa.int32())),
             stack([nulls(n_docs), nulls(n_copies), nulls(n_sent), texts], pa.string()),
         ]
-        return pa.Table.from_arrays(columns, names=["kind", "id", "n", "other", "token", "pos", "ranges", "text"])
+        return pa.Table.from_arrays(columns, names=["kind", "id", "n", "other", "token", "pos", "m", "classes", "text"])
 
     return materialize(layout.join(answer(layout.ask(ask), _count), prefix, _FOUND), "jaccard")
 
 
+def _need(join: Join) -> F.Column:
+    """The overlap that sets of nx and ny shingles must have."""
+    share = 100 + join.percent
+    return F.floor((join.percent * (F.col("nx") + F.col("ny")) + (share - 1)) / share)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """The pairs (x, y) that reach the threshold, as links u, v."""
-    share = 100 + join.percent
-    need = F.floor((join.percent * (F.col("nx") + F.col("ny")) + (share - 1)) / share)
-    x, y = (texts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("ranges").alias(f"r{c}"), F.col("text").alias(f"t{c}")) for c in "xy")
-    distance = F.aggregate(F.zip_with("rx", "ry", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
-    bound = pairs.join(x.drop("tx"), "x").join(y.drop("ty"), "y").filter(distance <= F.col("nx") + F.col("ny") - 2 * need).select("x", "y")
+    x, y = (texts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("classes").alias(f"r{c}"), F.col("text").alias(f"t{c}")) for c in "xy")
+    most = F.aggregate(F.zip_with("rx", "ry", lambda a, b: F.least(a, b)), F.lit(0), lambda s, d: s + d)
+    bound = pairs.join(x.drop("tx"), "x").join(y.drop("ty"), "y").filter(most >= _need(join)).select("x", "y")
     rows = bound.join(y.select("y", "ty"), "y").join(x.select("x", "tx"), "x").select("x", "y", "tx", "ty")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,46 +226,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
 
 def _fits(join: Join) -> F.Column:
     """Length and positional filter of a pair x, y that shares a prefix shingle at positions px, py."""
-    share = 100 + join.percent
-    nx, ny, px, py = (F.col(c) for c in ("nx", "ny", "px", "py"))
+    nx, ny, mx, my, px, py = (F.col(c) for c in ("nx", "ny", "mx", "my", "px", "py"))
     length = (100 * nx >= join.percent * ny) & (100 * ny >= join.percent * nx)
-    rest = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
-    return length & (rest >= F.floor((join.percent * (nx + ny) + (share - 1)) / share))
+    rest = F.least(px, py) + 1 + F.least(mx - px - 1, my - py - 1)
+    return length & (rest >= _need(join))
+
+
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select("token", *(F.col(c).alias(c + side) for c in ("n", "m", "c")), F.col("id").alias(side), F.col("pos").alias("p" + side), *more)
 
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links)."""
     found = _found(Layout(df, id_col, text_col), join)
-    texts = found.filter("kind = 3").select("id", "n", "ranges", "text")
-    copies = found.filter("kind = 1").select(F.col("id").alias("u"), F.col("other").alias("v"))
+    texts = found.filter("kind = 3").select("id", "n", "classes", "text")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / join.percent))).cast("int")
-    tokens = found.filter("kind = 2").select("token", "id", "n", "pos", band.alias("band"))
-    least = tokens.groupBy("token", "band").agg(F.min(F.struct("n", "id", "pos")).alias("leader"))
-    leaders = least.select("token", "band", F.col("leader.id").alias("y"), F.col("leader.n").alias("ny"), F.col("leader.pos").alias("py"))
-    leaders = leaders.unionByName(leaders.withColumn("band", F.col("band") + 1))  # for the next band too
-    rows = tokens.select("token", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    pairs = rows.join(leaders, ["token", "band"]).filter((F.col("x") != F.col("y")) & _fits(join)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    pairs = materialize(pairs, "jaccard-pairs")
-    first = materialize(_verified(pairs, texts, join).unionByName(copies), "jaccard-links")
-    label = materialize(components(first), "jaccard-labels")
-    # second round: shingles held by sets of several components
-    named = tokens.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    mixed = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("n", "id", "c")).alias("leader")).filter("low <> high")
-    mixed = mixed.select("token", F.col("leader.c").alias("main"))
-    held = materialize(named.join(mixed, "token").select("token", "id", "n", "pos", "c", "main"), "jaccard-mixed")
-    x = held.select("token", "main", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
-    y = held.filter("c <> main").select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
-    across = (F.col("cx") != F.col("cy")) & ((F.col("cx") == F.col("main")) | (F.col("x") < F.col("y")))
-    more = x.join(y, "token").filter(across & _fits(join)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    second = _verified(more.join(pairs, ["x", "y"], "left_anti"), texts, join)
-    # components of the first round are stars already
-    edges = label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)
-    final = components(edges)
+    tokens = found.filter("kind = 2").select("token", "id", "n", "m", "pos", band.alias("band"))
+    links = found.filter("kind = 1").select(F.col("id").alias("u"), F.col("other").alias("v"))
+    label = materialize(components(links), "jaccard-labels")
+    tested = None
+    for turn in range(_ROUNDS + 1):
+        named = tokens.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        mixed = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token")
+        held = materialize(named.join(mixed, "token"), "jaccard-mixed")
+        pairs = _led(held, turn, join) if turn < _ROUNDS else _across(held, join)
+        if tested is not None:
+            pairs = pairs.join(tested, ["x", "y"], "left_anti")
+        pairs = materialize(pairs, "jaccard-pairs")
+        linked = materialize(_verified(pairs, texts, join), "jaccard-links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if linked.isEmpty():
+            continue
+        # the components so far are stars already
+        label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked))
     documents = found.filter("kind = 0").select("id", F.col("n").cast("long").alias("n_shingles"))
-    joined = documents.join(final.withColumnRenamed("node", "id"), "id", "left")
+    joined = documents.join(label.withColumnRenamed("node", "id"), "id", "left")
     return joined.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _led(held: DataFrame, turn: int, join: Join) -> DataFrame:
+    """Each set with the leader in another component that it shares most prefix shingles with."""
+    rank = F.col("n").cast("long") if turn == 0 else F.xxhash64("c", F.lit(turn))
+    least = held.groupBy("token", "band").agg(F.min(F.struct(rank.alias("r"), "id", "n", "m", "pos", "c")).alias("leader")).select("token", "band", "leader.*")
+    least = least.unionByName(least.withColumn("band", F.col("band") + 1))  # for the next band too
+    rows = _side(held, "x", "band").join(_side(least, "y", "band"), ["token", "band"]).filter((F.col("cx") != F.col("cy")) & _fits(join))
+    counted = rows.groupBy("x", "y").agg(F.count("*").alias("k"))
+    best = counted.groupBy("x").agg(F.max(F.struct("k", (-F.col("y")).alias("less"))).alias("best"))
+    return _ordered(best.select("x", (-F.col("best.less")).alias("y"))).distinct()
+
+
+def _across(held: DataFrame, join: Join) -> DataFrame:
+    """All pairs that share a prefix shingle and lie in different components, but for the component that leads it."""
+    main = held.groupBy("token").agg(F.min(F.struct("n", "id", "c")).alias("leader")).select("token", F.col("leader.c").alias("main"))
+    rows = materialize(held.join(main, "token"), "jaccard-rest")
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("cx") == F.col("main")) | (F.col("x") < F.col("y")))
+    pairs = _side(rows, "x", "main").join(_side(rows.filter("c <> main"), "y"), "token").filter(apart & _fits(join))
+    return _ordered(pairs).distinct()
+
+
 def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """The rows of ``df`` without those of linked documents other than the smallest id of their group."""
     linked = link_documents(df, id_col, text_col, join)
