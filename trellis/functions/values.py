@@ -80,6 +80,8 @@ def comparable(a: Value, b: Value) -> tuple[Column, Column]:
             else:
                 pair = (x.col, y.col.cast("string"))
             return (pair[1], pair[0]) if flip else pair
+    if {a.type, b.type} == {"timestamp", "timestamp_ntz"}:  # the constant follows the column, so that filters reach the scan
+        return (a.col.cast(b.type), b.col) if a.constant is not None else (a.col, b.col.cast(a.type))
     if a.type in times and b.type in times:
         return a.col.cast("timestamp"), b.col.cast("timestamp")
     return a.col.cast("string"), b.col.cast("string")

@@ -83,6 +83,7 @@ class Rule:
     object: TermMap
     graph: str | None = None
     join: Join | None = None
+    also: tuple[str, ...] = ()  # further columns that must have a value
 
     @property
     def is_type(self) -> bool:

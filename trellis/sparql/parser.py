@@ -466,6 +466,8 @@ class Parser:
         return self.primary()
 
     def is_call(self) -> bool:
+        if self.is_word("HAVING", "ORDER", "LIMIT", "OFFSET", "VALUES", "GROUP"):
+            return False
         return self.peek().kind in ("word", "name", "iri") and (self.peek(1).text == "(" or self.is_word("NOT", "EXISTS"))
 
     def arguments(self) -> tuple:
