@@ -53,11 +53,11 @@ class Engine:
         self.correlated_subselect, self.prefixes = correlated_subselect, dict(prefixes or {})
         self.store, self.ontology, self.registry = MappingStore(), onto.Ontology(), Registry()
         self.services, self.cache, self.metrics = Services(), PlanCache(), Counter()
-        self.tables: dict[str, DataFrame] = {}
+        self.tables: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self.catalog = Catalog(spark, self.store, self.tables)
 
     # sources ------------------------------------------------------------------
-    def register_table(self, name: str, df: DataFrame, info: TableInfo | None = None) -> None:
+    def register_table(self, name: str, df: DataFrame | Callable[[], DataFrame], info: TableInfo | None = None) -> None:
         self.tables[name] = df
         if info is not None:
             self.store.tables[name] = info
@@ -65,8 +65,9 @@ class Engine:
         self.store.version += 1
 
     def register_parquet(self, directory: str, names: list[str], infos: dict[str, TableInfo] | None = None) -> None:
+        """Tables of a folder; each is opened when a query first needs it."""
         for name in names:
-            self.register_table(name, self.spark.read.parquet(f"{directory}/{name}.parquet"), (infos or {}).get(name))
+            self.register_table(name, lambda name=name: self.spark.read.parquet(f"{directory}/{name}.parquet"), (infos or {}).get(name))
 
     def load_mapping(self, text: str) -> int:
         """Add an R2RML document; returns the number of its rules."""

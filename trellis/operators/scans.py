@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +22,13 @@ class Catalog:
 
     spark: SparkSession
     store: MappingStore
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
     views: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame | None:
         if name in self.tables:
+            if callable(self.tables[name]):  # opened when first used
+                self.tables[name] = self.tables[name]()
             return self.tables[name]
         if name in self.store.queries:
             if name not in self.views:

@@ -79,9 +79,8 @@ class Gateway:
                 self.serve(self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode("utf-8", "replace"))
 
             def text_of(self, url, body: str) -> str:
-                if body and "x-www-form-urlencoded" in self.headers.get("Content-Type", ""):
-                    return urllib.parse.parse_qs(body).get("query", [""])[0]
-                return body or urllib.parse.parse_qs(url.query).get("query", [""])[0]
+                form = urllib.parse.parse_qs(body) if "x-www-form-urlencoded" in self.headers.get("Content-Type", "") else {}
+                return form["query"][0] if "query" in form else body or urllib.parse.parse_qs(url.query).get("query", [""])[0]
 
             def serve(self, body: str) -> None:
                 url = urllib.parse.urlsplit(self.path)

@@ -274,10 +274,22 @@ _add("win_percent_rank", "SELECT ?c (PERCENT_RANK() OVER (PARTITION BY ?n ORDER
 _add("stream_window_count", "", "SELECT time_bucket(INTERVAL 1 day, ts) AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL", run=windows.daily_counts)
 
 
+_engines: dict[tuple, Engine] = {}
+
+
+def _shared_engine(spark: SparkSession, sf_dir: str, options: tuple) -> Engine:
+    """One engine per session, folder and options, as a server would keep it."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, options)
+    if key not in _engines:
+        _engines[key] = engine(spark, sf_dir, **dict(options))
+    return _engines[key]
+
+
 def _of(name: str, entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = engine(spark, sf_dir, **dict(entry.options))
-        return entry.run(found, entry.sparql or sf_dir) if entry.run else found.query(entry.sparql)
+        if entry.run:
+            return entry.run(engine(spark, sf_dir, **dict(entry.options)), entry.sparql or sf_dir)
+        return _shared_engine(spark, sf_dir, entry.options).query(entry.sparql)
 
     run.__name__ = name
     return run
