@@ -210,6 +210,10 @@ def _ids_table(keys: pa.Array, ids: list[list[int]], name: str) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))], names=[name, "ids"])
 
 
+_CHUNKS = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("part", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])
+_MATRICES = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("m", pa.binary())])
+
+
 def _giant_ids(giants: DataFrame, path: str, chunk: int) -> DataFrame:
     """(row, ids) of giant texts (row, text)."""
 
@@ -220,13 +224,13 @@ def _giant_ids(giants: DataFrame, path: str, chunk: int) -> DataFrame:
                 normal = model.library.normalize(text)
                 for k, a in enumerate(range(0, len(normal), chunk)):
                     part, left, right = _surrounded(model, normal, a, min(a + chunk, len(normal)))
-                    yield pa.RecordBatch.from_pylist([{"row": row, "k": k, "part": part, "lo": left, "hi": right}])
+                    yield pa.RecordBatch.from_pylist([{"row": row, "k": k, "part": part, "lo": left, "hi": right}], _CHUNKS)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)
         for batch in batches:
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([{"row": r["row"], "k": r["k"], "m": pickle.dumps(transfer(model, r["part"], r["lo"], r["hi"]))}])
+                yield pa.RecordBatch.from_pylist([{"row": r["row"], "k": r["k"], "m": pickle.dumps(transfer(model, r["part"], r["lo"], r["hi"]))}], _MATRICES)
 
     def scan(chunks: pa.Table) -> pa.Table:
         chunks = chunks.sort_by("k")

@@ -187,10 +187,10 @@ def _kept(docs: pa.Table, unit: _Unit, removed: np.ndarray, id_col: str) -> pa.T
         piece = raw[bounds[i] : bounds[i + 1]]
         texts.append(piece[:-1] if piece.endswith(b" ") else piece)
     doc_first = words.at[words.doc]
-    flip = np.r_[removed, False] & ~np.r_[False, removed]
-    cut = np.r_[removed, False] & np.isin(np.arange(len(removed) + 1), words.at)
-    begin = np.flatnonzero(flip | cut)
-    end = np.flatnonzero(removed & ~np.r_[removed[1:], False] | removed & np.isin(np.arange(1, len(removed) + 1), words.at))
+    opens = np.zeros(len(removed) + 1, bool)
+    opens[words.at] = True
+    begin = np.flatnonzero(removed & (opens[:-1] | ~np.r_[False, removed][:-1]))
+    end = np.flatnonzero(removed & (opens[1:] | ~np.r_[removed, False][1:])) + 1
     owner = words.doc[begin]
     spans = pa.StructArray.from_arrays([pa.array(begin - doc_first[begin], pa.int64()), pa.array(end - doc_first[begin], pa.int64())], ["first", "last"])
     counts = np.bincount(owner, minlength=n_docs)

@@ -66,7 +66,7 @@ def lines(data: np.ndarray) -> np.ndarray:
 
 def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, int]:
     """Tokens of each section [bounds[i], bounds[i+1]), and how many tokens cross a boundary."""
-    starts = np.r_[0, ends[:-1]]
+    starts = np.r_[0, ends][:-1]
     first = np.searchsorted(bounds, starts, "right") - 1
     last = np.searchsorted(bounds, ends - 1, "right") - 1
     crossing = np.flatnonzero(first != last)

@@ -138,6 +138,8 @@ def parse_record(data: bytes) -> Record:
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
     if not headers.get("content-length", "").isdigit():
         raise Broken("no length")
+    if missing := [h for h in ("warc-type", "warc-record-id", "warc-date") if not headers.get(h)]:
+        raise Broken(f"no {missing[0]}")
     block = data[end + 4 : end + 4 + int(headers["content-length"])]
     if len(block) < int(headers["content-length"]):
         raise Broken("short block")
