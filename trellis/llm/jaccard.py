@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.llm.components import components
@@ -35,7 +35,9 @@ from trellis.llm.shared import materialize
 from trellis.llm.words import U64, Words, flatten, mix, packed, slices
 
 _CLASSES = 32
-_ROUNDS = 3
+#: Rounds with leaders at most, and leaders that a set is verified against in one.
+_ROUNDS = 10
+_LEADERS = 3
 _VERIFY_BYTES = 4 << 20
 
 
@@ -245,47 +247,55 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = found.filter("kind = 1").select(F.col("id").alias("u"), F.col("other").alias("v"))
     label = materialize(components(links), "jaccard-labels")
     tested = None
-    for turn in range(_ROUNDS + 1):
+    turn = 0
+    while True:
         named = tokens.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         mixed = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token")
-        held = materialize(named.join(mixed, "token"), "jaccard-mixed")
-        pairs = _led(held, turn, join) if turn < _ROUNDS else _across(held, join)
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = materialize(pairs, "jaccard-pairs")
+        tokens = materialize(named.join(mixed, "token"), "jaccard-mixed")  # the others can link nothing new
+        last = turn == _ROUNDS
+        pairs = materialize(_across(tokens, tested, join) if last else _led(tokens, tested, turn, join), "jaccard-pairs")
         linked = materialize(_verified(pairs, texts, join), "jaccard-links")
+        if not linked.isEmpty():
+            # the components so far are stars already
+            label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked))
+        if last:
+            break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if linked.isEmpty():
-            continue
-        # the components so far are stars already
-        label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked))
+        turn = turn + 1 if _worthwhile(linked, pairs) else _ROUNDS
+        tokens = tokens.drop("c")
     documents = found.filter("kind = 0").select("id", F.col("n").cast("long").alias("n_shingles"))
     joined = documents.join(label.withColumnRenamed("node", "id"), "id", "left")
     return joined.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+def _worthwhile(linked: DataFrame, pairs: DataFrame) -> bool:
+    """Whether leaders still find links for more than one pair in twenty."""
+    found = linked.count()
+    return found > 0 and 20 * found > pairs.count()
 
 
-def _led(held: DataFrame, turn: int, join: Join) -> DataFrame:
-    """Each set with the leader in another component that it shares most prefix shingles with."""
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    return pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
+
+
+def _led(held: DataFrame, tested: DataFrame | None, turn: int, join: Join) -> DataFrame:
+    """Each set with the leaders in other components that it shares most prefix shingles with."""
     rank = F.col("n").cast("long") if turn == 0 else F.xxhash64("c", F.lit(turn))
     least = held.groupBy("token", "band").agg(F.min(F.struct(rank.alias("r"), "id", "n", "m", "pos", "c")).alias("leader")).select("token", "band", "leader.*")
     least = least.unionByName(least.withColumn("band", F.col("band") + 1))  # for the next band too
     rows = _side(held, "x", "band").join(_side(least, "y", "band"), ["token", "band"]).filter((F.col("cx") != F.col("cy")) & _fits(join))
-    counted = rows.groupBy("x", "y").agg(F.count("*").alias("k"))
-    best = counted.groupBy("x").agg(F.max(F.struct("k", (-F.col("y")).alias("less"))).alias("best"))
-    return _ordered(best.select("x", (-F.col("best.less")).alias("y"))).distinct()
+    counted = rows.groupBy("x", "y").agg(F.count("*").alias("k")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("x").alias("who"), "k")
+    best = F.row_number().over(Window.partitionBy("who").orderBy(F.desc("k"), "x", "y"))
+    return _untested(counted, tested).withColumn("place", best).filter(F.col("place") <= _LEADERS).select("x", "y").distinct()
 
 
-def _across(held: DataFrame, join: Join) -> DataFrame:
+def _across(held: DataFrame, tested: DataFrame | None, join: Join) -> DataFrame:
     """All pairs that share a prefix shingle and lie in different components, but for the component that leads it."""
     main = held.groupBy("token").agg(F.min(F.struct("n", "id", "c")).alias("leader")).select("token", F.col("leader.c").alias("main"))
     rows = materialize(held.join(main, "token"), "jaccard-rest")
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cx") == F.col("main")) | (F.col("x") < F.col("y")))
     pairs = _side(rows, "x", "main").join(_side(rows.filter("c <> main"), "y"), "token").filter(apart & _fits(join))
-    return _ordered(pairs).distinct()
+    return _untested(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), tested)
 
 
 def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
