@@ -204,7 +204,8 @@ def test_functions_may_be_registered(hr):
         ("overlaps", "POLYGON((0 0,10 0,10 10,0 10,0 0))", "POLYGON((5 5,15 5,15 15,5 15,5 5))", True), ("contains", "POLYGON((0 0,10 0,10 10,0 10,0 0))", "POLYGON((1 1,2 1,2 2,1 2,1 1))", True),
         ("crosses", "LINESTRING(0 0,10 10)", "LINESTRING(5 0,5 10)", True), ("crosses", "LINESTRING(-5 5,15 5)", "POLYGON((0 0,10 0,10 10,0 10,0 0))", True), ("equals", "LINESTRING(0 0,1 1)", "LINESTRING(1 1,0 0)", True),
         ("disjoint", "POINT(0 0)", "POINT(1 1)", True), ("intersects", "LINESTRING(0 0,10 10)", "POLYGON((6 6,10 6,10 10,6 10,6 6))", True), ("touches", "POLYGON((0 0,5 0,5 5,0 5,0 0))", "POLYGON((5 0,9 0,9 5,5 5,5 0))", True),
-        ("within", "nonsense", "POINT(0 0)", None),
+        ("within", "nonsense", "POINT(0 0)", None), ("within", "POINT(0 2)", "POLYGON((0 0,2 0,2 2,0 2,0 0))", False), ("contains", "POLYGON((0 0,2 0,2 2,0 2,0 0))", "POINT(2 2)", False),
+        ("within", "LINESTRING(0 0,2 0)", "POLYGON((0 0,2 0,2 2,0 2,0 0))", False), ("within", "LINESTRING(0 0,2 2)", "POLYGON((0 0,2 0,2 2,0 2,0 0))", True), ("within", "POINT(1 0)", "LINESTRING(0 0,2 0)", True),
     ],
 )
 def test_geometry(name, a, b, want):

@@ -177,6 +177,11 @@ def _inner(g) -> np.ndarray:
     return centre
 
 
+def _inside(g, other) -> bool:
+    """Whether a sample shows that the interiors meet: any point of g inside an area, or an inner point of g on a line."""
+    return any(_place(p, other) > 0 and (other[0] == "POLYGON" or _place(p, g) > 0) for p in _samples(g, other))
+
+
 def shape_distance(a: str | None, b: str | None) -> float | None:
     """Planar distance; None for texts that are no geometry."""
     try:
@@ -208,7 +213,7 @@ def shape_relation(name: str, a: str | None, b: str | None) -> bool | None:
         return False
     of_x, of_y = [_place(p, y) for p in _samples(x, y)], [_place(p, x) for p in _samples(y, x)]
     x_in, y_in = all(p >= 0 for p in of_x), all(p >= 0 for p in of_y)
-    inner = max(of_x) > 0 or max(of_y) > 0 or (x_in and y_in)
+    inner = _inside(x, y) or _inside(y, x) or (x[0] == y[0] and x_in and y_in)
     dims = {"POINT": 0, "LINESTRING": 1, "POLYGON": 2}
     if name == "equals":
         return x_in and y_in
