@@ -35,12 +35,13 @@ def distance(a: Value, b: Value) -> Column:
     fast = F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
     if _is_point(a) and _is_point(b):
         return fast
-    # Spark runs Python UDFs over every row of a stage, so the fast way only saves work where a constant is no point
-    return F.coalesce(fast, _distance()(a.text(), b.text()))
+    # Spark hands every row to a Python UDF; where both are points it gets nulls and has nothing to do
+    other = fast.isNull()
+    return F.coalesce(fast, _distance()(F.when(other, a.text()), F.when(other, b.text())))
 
 
 def _is_point(x: Value) -> bool:
-    return x.constant is None or bool(re.match(_POINT, str(x.constant.value).upper())) if x.constant is not None else False
+    return x.constant is not None and bool(re.match(_POINT, str(x.constant.value).upper()))
 
 
 def relate(name: str, a: Value, b: Value) -> Column:
@@ -184,6 +185,8 @@ def _inside(g, other) -> bool:
 
 def shape_distance(a: str | None, b: str | None) -> float | None:
     """Planar distance; None for texts that are no geometry."""
+    if a is None or b is None:
+        return None
     try:
         x, y = shape(a), shape(b)
     except (ValueError, TypeError, AttributeError, IndexError):
