@@ -8,7 +8,10 @@ cut, and each chunk is then backtraced by itself between its two states.
 Edge scores: for a unigram model the score of the piece.  A byte-pair model has no additive scores; there an edge scores
 0 if the two pieces, merged from their joint characters by the model's own rule, come out as the same two pieces, and
 minus infinity otherwise.  The merged segmentation is the one path without a forbidden edge, so the scan finds just what
-the library gives for the whole text.  Documents below ``giant`` characters go to the library directly.
+the library gives for the whole text; scores being 0 or minus infinity, a set of entries is a bit mask.
+
+Documents below ``giant`` characters go to the library, word by word: no piece runs on from a word into the white space
+after it, so words are encoded alike everywhere, and each worker keeps the ids of words that it has met.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text; rows that repeat an id are encoded each by
 itself; characters without a piece become bytes; an empty table gives an empty result; extra columns are not read.
@@ -19,6 +22,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import pickle
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,10 @@ GIANT = 1 << 16
 CHUNK = 1 << 14
 _BATCH = 1 << 20
 _NO = float("-inf")
+_SPACE = "\u2581"
+_WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*")
+#: Words and pairs of pieces that a worker keeps at most.
+_KEPT = 1 << 19
 State = tuple[int, int]  # where the covering piece begins and ends, from the cut
 
 
@@ -49,11 +58,16 @@ class Codec:
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if any(model.is_byte(i) for i in range(n)) else None
         self.longest = max(map(len, self.ids))
+        self.begun = {p[:n] for p in self.ids for n in range(2, len(p) + 1)}
         self.unknown = min(self.scores.values()) - 10
         # log-probabilities of a unigram model are fractions; a byte-pair model counts its merges
         self.is_unigram = any(s != int(s) for s in self.scores.values())
-        self.pair = functools.lru_cache(maxsize=1 << 20)(self._pair)
-        self.next_of: dict[str, list[str]] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.by_word = _SPACE in self.ids and not any(_SPACE in p.lstrip(_SPACE) for p in self.ids) and library_marks_spaces(model)
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.table = [b"" if model.is_control(i) else model.id_to_piece(i).replace(_SPACE, " ").encode() for i in range(n)]
+        for b, i in enumerate(self.bytes or ()):
+            self.table[i] = bytes([b])
 
     def merged(self, text: str) -> list[str]:
         """The byte-pair segmentation of a short text: best-scored adjacent pair first, the leftmost of equals."""
@@ -66,19 +80,54 @@ class Codec:
             parts[-at : -at + 2] = [parts[-at] + parts[-at + 1]]
         return parts
 
-    def _pair(self, a: str, b: str) -> float:
-        return 0.0 if self.merged(a + b) == [a, b] else _NO
-
-    def edge(self, before: str, piece: str) -> float:
-        if self.is_unigram:
-            return self.scores.get(piece, self.unknown)
-        if not before:
-            return 0.0 if self.merged(piece) == [piece] else _NO
-        return self.pair(before, piece)
+    def follows(self, before: str, piece: str) -> bool:
+        """Whether a byte-pair model keeps two neighbouring pieces apart."""
+        key = (before, piece)
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= _KEPT:
+                self.pairs.clear()
+            found = self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return found
+
+    def encode(self, texts: list[str]) -> list[array]:
+        """The library's ids of each text."""
+        if not self.by_word:
+            return [array("i", ids) for ids in self.library.encode(texts, num_threads=1)]
+        words, out = self.words, []
+        if len(words) >= _KEPT:
+            words.clear()
+        cut = [_WORD.findall(normal) if normal else [] for normal in map(self.library.normalize, texts)]
+        new = list({w for units in cut for w in units if w not in words})
+        # the library puts one mark before a text: leave one out
+        words.update(zip(new, map(tuple, self.library.encode([w[1:].replace(_SPACE, " ") for w in new], num_threads=1)), strict=True))
+        words[_SPACE] = (self.ids[_SPACE],)  # the mark alone: an empty text has no pieces
+        for units in cut:
+            ids = array("i")
+            for w in units:
+                ids.extend(words[w])
+            out.append(ids)
+        return out
+
+    def decode(self, ids: list[int]) -> str:
+        """The library's text of ids."""
+        table = self.table
+        try:
+            text = b"".join([table[i] for i in ids]).decode()
+        except (UnicodeDecodeError, IndexError):
+            return self.library.decode(ids)
+        return text.removeprefix(" ") if self.by_word and self.library.unk_id() not in ids else self.library.decode(ids)
 
     def starting(self, text: str, at: int, end: int) -> list[int]:
         """Ends of the pieces that begin at ``at``; a single character always is one."""
-        return [at + 1, *(at + n for n in range(2, min(self.longest, end - at) + 1) if text[at : at + n] in self.ids)]
+        found = [at + 1]
+        for stop in range(at + 2, min(at + self.longest, end) + 1):
+            piece = text[at:stop]
+            if piece not in self.begun:
+                break
+            if piece in self.ids:
+                found.append(stop)
+        return found
 
     def id_list(self, piece: str) -> list[int]:
         if piece in self.ids:
@@ -86,6 +135,12 @@ class Codec:
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.library.unk_id()]
 
 
+def library_marks_spaces(model) -> bool:
+    """Whether the model only puts a mark before the text and in the place of each space."""
+    odd = " a  b\u00a0\ufb01 \u00c5\u2460\n\t c "
+    return model.normalize(odd) == _SPACE + odd.replace(" ", _SPACE)
+
+
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -102,31 +157,55 @@ def entry_states(model: Codec, text: str, cut: int) -> list[State]:
 def transfer(model: Codec, text: str, left: int, right: int) -> tuple[list[State], list[State], np.ndarray]:
     """Entry states, exit states and best scores between them of the chunk text[left:right] in its surroundings."""
     entries = entry_states(model, text, left)
-    at: dict[int, dict[int, np.ndarray]] = {}  # end -> begin of the last piece -> score from each entry
-    for k, (a, b) in enumerate(entries):
-        vector = at.setdefault(left + b, {}).setdefault(left + a, np.full(len(entries), _NO))
-        vector[k] = 0.0
+    reach = _best_scores if model.is_unigram else _allowed
+    exits = reach(model, text, right, {(left + a, left + b): k for k, (a, b) in enumerate(entries)})
+    states = sorted(exits)
+    return entries, [(a - right, b - right) for a, b in states], np.stack([exits[s] for s in states], axis=1) if states else np.zeros((len(entries), 0))
+
+
+def _allowed(model: Codec, text: str, right: int, entries: dict[State, int]) -> dict[State, np.ndarray]:
+    """Scores of exits under 0 and minus infinity: which entries reach each piece, as bits."""
+    at: dict[int, dict[int, int]] = {}
+    for (a, b), k in entries.items():
+        at.setdefault(b, {})[a] = at.get(b, {}).get(a, 0) | 1 << k
+    exits: dict[State, int] = {}
+    follows, last = model.follows, len(text)
+    for p in range(min(at), last + 1):
+        here = at.pop(p, None)
+        if not here:
+            continue
+        if p >= right:
+            exits.update({(a, p): mask for a, mask in here.items()})
+            continue
+        before = [(text[a:p], mask) for a, mask in here.items()]
+        for end in model.starting(text, p, last):
+            piece, found = text[p:end], 0
+            for b, mask in before:
+                if mask & ~found and follows(b, piece):
+                    found |= mask
+            if found:
+                at.setdefault(end, {})[p] = found
+    n = len(entries)
+    return {s: np.where([mask >> k & 1 for k in range(n)], 0.0, _NO) for s, mask in exits.items()}
+
+
+def _best_scores(model: Codec, text: str, right: int, entries: dict[State, int]) -> dict[State, np.ndarray]:
+    """Scores of exits under sums of piece scores."""
+    at: dict[int, dict[int, np.ndarray]] = {}
+    for (a, b), k in entries.items():
+        at.setdefault(b, {}).setdefault(a, np.full(len(entries), _NO))[k] = 0.0
     exits: dict[State, np.ndarray] = {}
-    for p in range(left, len(text) + 1):
+    for p in range(min(at), len(text) + 1):
         here = at.pop(p, None)
         if not here:
             continue
         if p >= right:
-            exits.update({(a - right, p - right): v for a, v in here.items()})
+            exits.update({(a, p): v for a, v in here.items()})
             continue
-        if model.is_unigram:
-            here = {-1: functools.reduce(np.maximum, here.values())}
+        best = functools.reduce(np.maximum, here.values())
         for end in model.starting(text, p, len(text)):
-            piece, best = text[p:end], None
-            for a, v in here.items():
-                w = model.edge(text[a:p] if a >= 0 else "", piece)
-                if w > _NO:
-                    best = v + w if best is None else np.maximum(best, v + w)
-            if best is not None and best.max() > _NO:
-                old = at.setdefault(end, {}).get(p)
-                at[end][p] = best if old is None else np.maximum(old, best)
-    states = sorted(exits)
-    return entries, states, np.stack([exits[s] for s in states], axis=1) if states else np.zeros((len(entries), 0))
+            at.setdefault(end, {})[p] = best + model.scores.get(text[p:end], model.unknown)
+    return exits
 
 
 Matrix = tuple[list[State], list[State], np.ndarray]
@@ -177,10 +256,12 @@ def backtrace(model: Codec, text: str, left: int, right: int, entry: State, leav
         if not here:
             continue
         for end in model.starting(text, p, len(text)):
+            piece, best = text[p:end], (_NO, 0)
             for a, (score, _) in here.items():
-                w = model.edge(text[a:p], text[p:end])
-                if w > _NO and score + w > at.setdefault(end, {}).get(p, (_NO, 0))[0]:
-                    at[end][p] = (score + w, a)
+                if score > best[0] and (model.is_unigram or model.follows(text[a:p], piece)):
+                    best = (score, a)
+            if best[0] > _NO:
+                at.setdefault(end, {})[p] = (best[0] + (model.scores.get(piece, model.unknown) if model.is_unigram else 0.0), best[1])
     begin, end, pieces = right + leave[0], right + leave[1], []
     while (begin, end) != (left + entry[0], left + entry[1]):
         pieces.append(text[begin:end])
@@ -204,10 +285,9 @@ def _surrounded(model: Codec, text: str, a: int, b: int) -> tuple[str, int, int]
     return text[low : b + model.longest], a - low, b - low
 
 
-def _ids_table(keys: pa.Array, ids: list[list[int]], name: str) -> pa.RecordBatch:
-    flat = np.fromiter((i for x in ids for i in x), np.int32)
-    bounds = np.r_[0, np.cumsum([len(x) for x in ids])]
-    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))], names=[name, "ids"])
+def _lists(ids: list[array]) -> pa.ListArray:
+    flat = np.frombuffer(b"".join(ids), np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32()), pa.array(flat))
 
 
 _CHUNKS = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("part", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -257,14 +337,14 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: st
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = codec(path).library
+        model = codec(path)
         for batch in batches:
             where = batch.schema.names.index(text_col)
             _, offsets = flatten(batch.column(where))
             for i, j in slices(offsets, _BATCH):
                 part = batch.slice(i, j - i)
-                ids = library.encode([t or "" for t in part.column(where).cast(pa.string()).to_pylist()], num_threads=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, _ids_table(pa.nulls(j - i), ids, "k").column("ids")], names=[*part.schema.names, out_col])
+                ids = model.encode([t or "" for t in part.column(where).cast(pa.string()).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*part.schema.names, out_col])
 
     plain = df.filter(F.length(text) < giant)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out_col}` array<int>"
@@ -277,26 +357,27 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: st
     return done.unionByName(large)
 
 
-def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str = MODEL) -> DataFrame:
-    """``df`` with the text of the piece ids in ``out_col``."""
+def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str = MODEL, digest_col: str | None = None) -> DataFrame:
+    """``df`` with the text of the piece ids in ``out_col``; ``digest_col``: their SHA-256, as little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = codec(path).library
+        model = codec(path)
         for batch in batches:
             where = batch.schema.names.index(ids_col)
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = [library.decode(ids or []) if ids else "" for ids in part.column(where).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out_col}` string"
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                column = part.column(where).fill_null([]) if part.column(where).null_count else part.column(where)
+                flat, sizes = column.flatten().to_numpy(zero_copy_only=False).astype("<i4"), column.value_lengths().to_numpy(zero_copy_only=False)
+                bounds = np.r_[0, np.cumsum(sizes)].tolist()
+                each = [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+                more = [pa.array([model.decode(ids.tolist()) for ids in each], pa.string())]
+                if digest_col:
+                    more.append(pa.array([sha_of(ids) for ids in each]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, out_col, *([digest_col] if digest_col else [])])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out_col}` string" + (f", `{digest_col}` string" if digest_col else "")
     return df.mapInArrow(run, schema)
 
 
-def digest(ids_col: str = "ids") -> F.Column:
-    """SHA-256 of the ids joined by commas."""
-    return F.sha2(F.array_join(F.col(ids_col).cast("array<string>"), ","), 256)
-
-
-def sha_of(ids: list[int]) -> str:
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+def sha_of(ids) -> str:
+    return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
