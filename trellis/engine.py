@@ -103,6 +103,10 @@ class Engine:
         """A function by name or IRI; ``build`` takes and returns columns (Spark functions, pandas UDFs)."""
         self.registry.register(name, build, least, most)
 
+    def register_aggregate(self, name: str, build: Callable[..., Column]) -> None:
+        """An aggregate by name or IRI; ``build`` takes columns and returns an aggregate column."""
+        self.registry.register_aggregate(name, build)
+
     # queries ------------------------------------------------------------------
     def parse(self, text: str) -> A.Query:
         validate(text)

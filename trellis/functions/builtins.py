@@ -28,6 +28,11 @@ class Registry:
     """Functions by upper-case name or IRI; users add their own."""
 
     functions: dict[str, Function] = field(default_factory=dict)
+    aggregates: dict[str, Callable[..., Column]] = field(default_factory=dict)
+
+    def register_aggregate(self, name: str, build: Callable[..., Column]) -> None:
+        """``build`` takes the arguments' columns and returns an aggregate (Spark's own, or a grouped pandas UDF)."""
+        self.aggregates[name if ":" in name else name.upper()] = build
 
     def register(self, name: str, build: Callable[..., Column | Value], least: int = 0, most: int | None = None) -> None:
         """``build`` takes the arguments' columns and returns a column (any Spark function or UDF)."""

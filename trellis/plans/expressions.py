@@ -97,7 +97,7 @@ class Compiler:
     def _call(self, e: A.Call) -> Value:
         if e.over is not None:
             return self._window(e)
-        if e.name in AGGREGATES:
+        if e.name in AGGREGATES or e.name in self.registry.aggregates:
             return self.aggregate(e)
         if e.name in WINDOW_ONLY:
             raise UnsupportedFeature(f"{e.name} without OVER")
@@ -105,6 +105,8 @@ class Compiler:
 
     def aggregate(self, e: A.Call) -> Value:
         """An aggregate's column, for groupBy or a window."""
+        if e.name in self.registry.aggregates:
+            return typed(Value(self.registry.aggregates[e.name](*(self.value(a).col for a in e.args))), self.scope)
         if e.name == "COUNT" and not e.args:
             return Value(self._count_all(e.distinct), "bigint")
         x = self.value(e.args[0])
@@ -159,18 +161,18 @@ def _avg_distinct(n: Column) -> Column:
     return F.try_divide(F.sum_distinct(n), F.count_distinct(n))
 
 
-def aggregates_in(e) -> list[A.Call]:
+def aggregates_in(e, names=AGGREGATES) -> list[A.Call]:
     """Aggregate calls of an expression, outermost only, without those of windows' own function."""
     if isinstance(e, A.Call):
         if e.over is not None:
-            inner = [a for x in (*e.args, *e.over.partition, *(o for o, _ in e.over.order)) for a in aggregates_in(x)]
+            inner = [a for x in (*e.args, *e.over.partition, *(o for o, _ in e.over.order)) for a in aggregates_in(x, names)]
             return inner
-        if e.name in AGGREGATES:
+        if e.name in names:
             return [e]
     if isinstance(e, (tuple, list)):
-        return [a for x in e for a in aggregates_in(x)]
+        return [a for x in e for a in aggregates_in(x, names)]
     if hasattr(e, "__dataclass_fields__") and not isinstance(e, (A.Exists, A.Group)):
-        return [a for f in e.__dataclass_fields__ for a in aggregates_in(getattr(e, f))]
+        return [a for f in e.__dataclass_fields__ for a in aggregates_in(getattr(e, f), names)]
     return []
 
 

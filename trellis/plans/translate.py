@@ -20,6 +20,7 @@ from trellis.plans.expressions import Compiler, aggregates_in, typed
 from trellis.plans.scope import Known, Solutions, column_of, empty, filter_join, join, left_join, marked, unit, union
 from trellis.sources.service import Services
 from trellis.sparql import ast as A
+from trellis.sparql.parser import AGGREGATES
 
 
 class Translator:
@@ -29,6 +30,10 @@ class Translator:
         self.marks = 0
         self.prefixes = prefixes or {}
 
+    def aggregates(self, e) -> list[A.Call]:
+        """Aggregate calls of an expression, the user's own too."""
+        return aggregates_in(e, AGGREGATES | self.registry.aggregates.keys())
+
     # groups -------------------------------------------------------------------
     def group(self, group: A.Group, outer: frozenset[str] = frozenset()) -> Solutions:
         """The solutions of a group; its filters hold for the whole of it."""
@@ -217,7 +222,7 @@ class Translator:
 
     def _promoted(self, query: A.Query, outside: set[str]) -> A.Query:
         """A grouped subquery whose unprojected variables occur outside is grouped by them too."""
-        aggregated = query.group_by or any(aggregates_in(p.expression) for p in query.projection)
+        aggregated = query.group_by or any(self.aggregates(p.expression) for p in query.projection)
         projected = {p.var.name for p in query.projection}
         missing = [v for v in A.variables(query.where) if v in outside and v not in projected]
         if not aggregated or not missing:
@@ -235,7 +240,7 @@ class Translator:
         if query.values is not None:
             visible += [v.name for v in query.values.variables if v.name not in visible]
         computed: dict = {}
-        grouped = bool(query.group_by) or any(aggregates_in(p.expression) for p in query.projection) or any(aggregates_in(h) for h in query.having)
+        grouped = bool(query.group_by) or any(self.aggregates(p.expression) for p in query.projection) or any(self.aggregates(h) for h in query.having)
         if grouped:
             solutions, computed = self._grouped(query, solutions)
         for e in query.having:
@@ -285,7 +290,7 @@ class Translator:
                 computed[g] = name
         if not query.group_by:  # variables projected beside aggregates are keys
             keys = [p.var.name for p in query.projection if p.expression is None and p.var.name in solutions.known]
-        calls = list(dict.fromkeys(a for e in (*(p.expression for p in query.projection), *query.having, *(o for o, _ in query.order_by)) for a in aggregates_in(e)))
+        calls = list(dict.fromkeys(a for e in (*(p.expression for p in query.projection), *query.having, *(o for o, _ in query.order_by)) for a in self.aggregates(e)))
         compiler = Compiler(solutions, self.registry, self.ctx.mode)
         values = [compiler.aggregate(c) for c in calls]
         columns = [v.col.alias(f"agg${i}") for i, v in enumerate(values)]

@@ -222,6 +222,15 @@ def _udf(e: Engine, text: str) -> DataFrame:
 
 _add("fn_custom_udf", "SELECT ?c (v:tenth(?b) AS ?x) (TWICE(?b) AS ?y) WHERE { ?c v:acctBal ?b }", "SELECT c_custkey AS c, c_acctbal * 0.1::double AS x, c_acctbal * 2 AS y FROM customer", run=_udf)
 
+
+
+def _udaf(e: Engine, text: str) -> DataFrame:
+    e.register_aggregate("MEDIAN", F.median)
+    return e.query(text)
+
+
+_add("fn_custom_aggregate", "SELECT ?g (MEDIAN(?b) AS ?m) WHERE { ?c v:segment ?g ; v:acctBal ?b } GROUP BY ?g HAVING (MEDIAN(?b) > 0)", "SELECT c_mktsegment AS g, median(c_acctbal) AS m FROM customer GROUP BY 1 HAVING median(c_acctbal) > 0", run=_udaf)
+
 # graphs, forms ----------------------------------------------------------------------
 _add("var_predicate", "SELECT ?p ?o WHERE { <http://example.org/vkg/nation/3> ?p ?o }", f"SELECT '{V}nationName' AS p, n_name AS o FROM nation WHERE n_nationkey = 3 UNION ALL SELECT '{V}inRegion', n_regionkey::varchar FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{V}Nation'")
 _add("var_class", "SELECT ?c (COUNT(?s) AS ?n) WHERE { ?s a ?c } GROUP BY ?c", " UNION ALL ".join(f"SELECT '{V}{name}' AS c, count(*) AS n FROM ({table if table.startswith('SELECT') else 'SELECT 1 FROM ' + table})" for name, table, _, _ in _MAPS).replace("concat('POINT(', c_custkey % 100, ' ', CAST(floor(c_custkey / 100) AS BIGINT), ')')", "1"))
