@@ -200,11 +200,15 @@ def _need(join: Join) -> F.Column:
     return F.floor((join.percent * (F.col("nx") + F.col("ny")) + (share - 1)) / share)
 
 
+def _overlap(x: str, y: str) -> F.Column:
+    """The most shingles that two sets can share, from their counts by class."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda s, d: s + d)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """The pairs (x, y) that reach the threshold, as links u, v."""
     x, y = (texts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("classes").alias(f"r{c}"), F.col("text").alias(f"t{c}")) for c in "xy")
-    most = F.aggregate(F.zip_with("rx", "ry", lambda a, b: F.least(a, b)), F.lit(0), lambda s, d: s + d)
-    bound = pairs.join(x.drop("tx"), "x").join(y.drop("ty"), "y").filter(most >= _need(join)).select("x", "y")
+    bound = pairs.join(x.drop("tx"), "x").join(y.drop("ty"), "y").filter(_overlap("rx", "ry") >= _need(join)).select("x", "y")
     rows = bound.join(y.select("y", "ty"), "y").join(x.select("x", "tx"), "x").select("x", "y", "tx", "ty")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +238,7 @@ def _fits(join: Join) -> F.Column:
     return length & (rest >= _need(join))
 
 
-def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+def _side(rows: DataFrame, side: str, *more: str | F.Column) -> DataFrame:
     return rows.select("token", *(F.col(c).alias(c + side) for c in ("n", "m", "c")), F.col("id").alias(side), F.col("pos").alias("p" + side), *more)
 
 
@@ -253,7 +257,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         mixed = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token")
         tokens = materialize(named.join(mixed, "token"), "jaccard-mixed")  # the others can link nothing new
         last = turn == _ROUNDS
-        pairs = materialize(_across(tokens, tested, join) if last else _led(tokens, tested, turn, join), "jaccard-pairs")
+        pairs = materialize(_across(tokens, tested, texts, join) if last else _led(tokens, tested, turn, join), "jaccard-pairs")
         linked = materialize(_verified(pairs, texts, join), "jaccard-links")
         if not linked.isEmpty():
             # the components so far are stars already
@@ -289,12 +293,14 @@ def _led(held: DataFrame, tested: DataFrame | None, turn: int, join: Join) -> Da
     return _untested(counted, tested).withColumn("place", best).filter(F.col("place") <= _LEADERS).select("x", "y").distinct()
 
 
-def _across(held: DataFrame, tested: DataFrame | None, join: Join) -> DataFrame:
+def _across(held: DataFrame, tested: DataFrame | None, texts: DataFrame, join: Join) -> DataFrame:
     """All pairs that share a prefix shingle and lie in different components, but for the component that leads it."""
     main = held.groupBy("token").agg(F.min(F.struct("n", "id", "c")).alias("leader")).select("token", F.col("leader.c").alias("main"))
-    rows = materialize(held.join(main, "token"), "jaccard-rest")
+    rows = materialize(held.join(main, "token").join(texts.select("id", "classes"), "id"), "jaccard-rest")
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cx") == F.col("main")) | (F.col("x") < F.col("y")))
-    pairs = _side(rows, "x", "main").join(_side(rows.filter("c <> main"), "y"), "token").filter(apart & _fits(join))
+    fits = _fits(join) & (_overlap("rx", "ry") >= _need(join))  # few rows are left here: the suffix filter joins with them
+    x, y = _side(rows, "x", "main", F.col("classes").alias("rx")), _side(rows.filter("c <> main"), "y", F.col("classes").alias("ry"))
+    pairs = x.join(y, "token").filter(apart & fits)
     return _untested(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), tested)
 
 
