@@ -43,7 +43,7 @@ _NO = float("-inf")
 _SPACE = "\u2581"
 _WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*")
 #: Words and pairs of pieces that a worker keeps at most.
-_KEPT = 1 << 19
+_KEPT = 1 << 16
 State = tuple[int, int]  # where the covering piece begins and ends, from the cut
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from trellis.llm.words import U64, Words, flatten, mix, repeated, slices
 
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 
