@@ -140,6 +140,40 @@ def test_near_duplicates(spark, limits):
     assert Counter(tuple(r) for r in neardup.near_duplicates(df, limits=limits).collect()) == brute.cosine_rows(rows, limits.cosine)
 
 
+def test_tasks_hold_two_blocks(spark, monkeypatch):
+    """A tight cluster of unequal vectors, in one cell and in many: no task may see more than two blocks of it."""
+    from pyspark.sql import GroupedData
+
+    plain = GroupedData.applyInArrow
+
+    def bounded(grouped, func, schema):
+        def checked(table):
+            assert "home" not in table.column_names or table.num_rows <= 128, f"a task holds {table.num_rows} vectors"
+            return func(table)
+
+        return plain(grouped, checked, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", bounded)
+    rng = np.random.default_rng(9)
+    rows = [(i, (np.eye(8)[0 if i < 300 else i % 8] + rng.normal(size=8) * 0.05).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for limits in (neardup.Range(block=32, most_pivots=1), neardup.Range(block=32, sample=256)):
+        assert Counter(tuple(r) for r in neardup.near_duplicates(df, limits=limits).collect()) == brute.cosine_rows(rows, limits.cosine)
+
+
+def test_each_pair_of_vectors_meets_once():
+    """In a cell, each two vectors at home, and each guest with each vector at home."""
+    key = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 50)
+    own = np.arange(50) < 30
+    met, sides = Counter(), {}
+    for row, left, right, first in neardup._dealt(key, own, np.full(50, 4), np.full(50, 3), most=16):
+        for r, a, b, side in zip(row.tolist(), left.tolist(), right.tolist(), first.tolist(), strict=True):
+            sides.setdefault((a, b), ([], []))[not side].append(r)
+    for (a, b), (one, two) in sides.items():
+        met.update(frozenset(x) for x in ({(r, s) for r in one for s in two} if a != b else {(r, s) for r in one for s in one if r < s}))
+    assert met == Counter(frozenset((r, s)) for r in range(30) for s in range(r + 1, 50))
+
+
 def test_pivots_prune_clusters():
     rng = np.random.default_rng(2)
     unit = neardup.unit_rows(np.eye(16)[rng.integers(0, 16, 2000)] + rng.normal(size=(2000, 16)) * 0.01)

@@ -4,7 +4,8 @@ Vectors on the unit sphere within cosine t are within distance eps = sqrt(2 - 2t
 the space into cells, each vector's home being its nearest pivot.  By the triangle inequality a vector can only be
 within eps of something in the cell of pivot j if it lies within eps of the plane between its own pivot i and j:
 (|v - pj|^2 - |v - pi|^2) / (2 |pi - pj|) <= eps.  It is copied to those cells, so every cell finds all neighbours of its
-home vectors by itself.  Cells with many home vectors are cut into blocks that each see the whole cell.
+home vectors by itself.  The home vectors of a cell and the copies that came to it are cut into blocks, and a task
+compares two blocks, whatever the size of the cell; the links that a vector found in its blocks are summed afterwards.
 
 The number of pivots is the one whose cost, estimated on the sample, is least: where distances are too alike for the
 inequality to prune anything (random directions in many dimensions) this is one cell, compared block by block.
@@ -67,7 +68,7 @@ def _homes(unit: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray
     return home, gap <= eps * apart[home] + 1e-9
 
 
-def choose_pivots(sample: np.ndarray, n: int, most: int, eps: float) -> np.ndarray:
+def choose_pivots(sample: np.ndarray, n: int, most: int, eps: float, block: int = 4096) -> np.ndarray:
     """Farthest-first pivots from the sample, as many as cost least for n vectors."""
     order, far = [0], np.full(len(sample), np.inf)
     while len(order) < min(most, len(sample)):
@@ -79,27 +80,30 @@ def choose_pivots(sample: np.ndarray, n: int, most: int, eps: float) -> np.ndarr
     while k <= len(order):
         home, copied = _homes(sample, sample[order[:k]], eps)
         share = np.bincount(home, minlength=k) / len(home)
-        compare = float((share * copied.mean(axis=0)).sum()) * n * n
-        cost = compare + 200.0 * n * float(copied.sum(axis=1).mean()) + 2.0 * n * k
+        homes, guests = share * n, (copied.mean(axis=0) - share) * n
+        compare = float((homes * (homes / 2 + guests)).sum())
+        moved = float((homes * (np.ceil(homes / block) + np.ceil(guests / block)) + guests * np.ceil(homes / block)).sum())
+        cost = compare + 200.0 * moved + 2.0 * n * k
         if cost < least:
             best, least = k, cost
         k *= 4
     return sample[order[:best]]
 
 
-def _linked(home: np.ndarray, member: np.ndarray, home_id: np.ndarray, member_id: np.ndarray, weight: np.ndarray, cosine: float, chunk: int):
-    """For each home vector the weight of its neighbours (itself included), and star links of what is linked."""
-    count = np.zeros(len(home_id), np.int64)
+def _linked(home: np.ndarray, member: np.ndarray, home_id: np.ndarray, member_id: np.ndarray, home_n: np.ndarray, member_n: np.ndarray, cosine: float, chunk: int):
+    """For each home vector the weight of its neighbours among the members, for each member that among the home vectors, and star links of what is linked."""
+    count, back = np.zeros(len(home_id), np.int64), np.zeros(len(member_id), np.int64)
     us, vs = [], []
     for i in range(0, len(home_id), chunk):
         for j in range(0, len(member_id), chunk):
             near = home[i : i + chunk] @ member[j : j + chunk].T >= cosine
             if not near.any():
                 continue
-            count[i : i + chunk] += near @ weight[j : j + chunk]
             h, m = home_id[i : i + chunk], member_id[j : j + chunk]
             rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
             part, label = near[np.ix_(rows, cols)], h[rows].copy()
+            count[i + rows] += part @ member_n[j + cols]
+            back[j + cols] += home_n[i + rows] @ part
             top = np.iinfo(np.int64).max
             while True:
                 of_member = np.minimum(np.where(part, label[:, None], top).min(axis=0), m[cols])
@@ -110,7 +114,27 @@ def _linked(home: np.ndarray, member: np.ndarray, home_id: np.ndarray, member_id
             for ids, to in ((h[rows], label), (m[cols], of_member)):
                 us.append(ids[ids != to])
                 vs.append(to[ids != to])
-    return count, np.concatenate(us) if us else count[:0], np.concatenate(vs) if vs else count[:0]
+    return count, back, np.concatenate(us) if us else count[:0], np.concatenate(vs) if vs else count[:0]
+
+
+def _dealt(key: np.ndarray, own: np.ndarray, homes: np.ndarray, guests: np.ndarray, most: int = 8192) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, left, right, whether it is the left one) of the pairs of blocks that the copies of vectors go to.
+
+    A copy is given by its vector's key, whether it is at home, and the numbers of home blocks and guest blocks of its
+    cell.  Each two home blocks of a cell meet once (a block also meets itself), and each home block meets each guest
+    block, numbered behind the home blocks.  The arrays are of ``most`` rows or of one copy at a time.
+    """
+    block = key % np.maximum(np.where(own, homes, guests), 1)
+    times = np.where(own, homes + guests, homes) * (homes > 0)
+    total = np.cumsum(times)
+    at = 0
+    while at < len(key):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        row = np.repeat(np.arange(at, end), times[at:end])
+        other = np.arange(len(row)) - np.repeat(np.cumsum(times[at:end]) - times[at:end], times[at:end])
+        mine = np.where(own[row], block[row], homes[row] + block[row])
+        yield row, np.minimum(mine, other), np.maximum(mine, other), mine <= other
+        at = end
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limits: Range = Range()) -> DataFrame:
@@ -126,7 +150,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     for r in vectors.groupBy("dim").count().orderBy(F.desc("count")).limit(1).collect():
         sample = vectors.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("id", "key")).limit(limits.sample).select("v").toArrow()
         values, _ = matrix(sample["v"])
-        pivots[r["dim"]] = choose_pivots(unit_rows(values.reshape(-1, r["dim"])), r["count"], limits.most_pivots, eps)
+        pivots[r["dim"]] = choose_pivots(unit_rows(values.reshape(-1, r["dim"])), r["count"], limits.most_pivots, eps, limits.block)
 
     def placed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """(rows, home cells, cells copied to, dimension) of the vectors of each dimension in a batch."""
@@ -143,49 +167,53 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, home, _, dim in placed(batch):
-                cells, counts = np.unique(home, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), dim), pa.int32()), pa.array(cells, pa.int32()), pa.array(counts, pa.int64())], names=["dim", "cell", "n"])
+            for _, home, copied, dim in placed(batch):
+                k = copied.shape[1]
+                homes = np.bincount(home, minlength=k)
+                columns = [np.full(k, dim), np.arange(k), homes, copied.sum(axis=0) - homes]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["dim", "cell", "n", "guests"])
 
-    sizes = vectors.select("dim", "v").mapInArrow(census, "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n"))
+    sizes = vectors.select("dim", "v").mapInArrow(census, "dim int, cell int, n long, guests long").groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.sum("guests").alias("guests"))
     # one row per pivot, and one per odd dimension
-    blocks = {(r["dim"], r["cell"]): -(-r["n"] // limits.block) for r in sizes.collect()}
-    schema = "dim int, cell int, block int, home boolean, id long, key long, n long, v array<double>"
+    blocks = {(r["dim"], r["cell"]): (-(-r["n"] // limits.block), -(-r["guests"] // limits.block)) for r in sizes.collect()}
+    schema = "dim int, cell int, left int, right int, home boolean, id long, key long, n long, v array<double>"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             for at, home, copied, dim in placed(batch):
                 who, cell = np.nonzero(copied)
-                many = np.array([blocks.get((dim, c), 0) for c in range(copied.shape[1])])
-                # each copy to every block of its cell; at home its own block is the one where it is compared
-                times = many[cell]
-                who, cell = np.repeat(who, times), np.repeat(cell, times)
-                block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
-                own = (home[who] == cell) & (block == (keys[at[who]] % np.maximum(many[cell], 1)))
-                for i in range(0, len(who), 8192):
-                    part = slice(i, i + 8192)
-                    take = pa.array(at[who[part]])
-                    n = len(take)
-                    flags = [pa.array(np.full(n, dim), pa.int32()), pa.array(cell[part], pa.int32()), pa.array(block[part], pa.int32()), pa.array(own[part])]
-                    yield pa.RecordBatch.from_arrays([*flags, *(batch.column(c).take(take) for c in ("id", "key", "n", "v"))], names=["dim", "cell", "block", "home", "id", "key", "n", "v"])
-
-    def join(cell: pa.Table) -> pa.Table:
-        dim = cell["dim"][0].as_py()
-        cell = cell.sort_by([("id", "ascending"), ("key", "ascending")])
-        home, ids, keys, n = (cell[c].to_numpy() for c in ("home", "id", "key", "n"))
-        unit = unit_rows(matrix(cell["v"])[0].reshape(-1, dim))
-        count, u, v = _linked(unit[home], unit, ids[home], ids, n, limits.cosine, limits.chunk)
-        # a vector's own copies always count, also where rounding takes its square below the threshold
-        k, m = len(count), len(u)
-        columns = [np.r_[ids[home], u], np.r_[keys[home], np.zeros(m, np.int64)], np.r_[count, np.zeros(m, np.int64)]]
+                many = np.array([blocks.get((dim, c), (0, 0)) for c in range(copied.shape[1])], np.int64)[cell]
+                for row, left, right, first in _dealt(keys[at[who]], home[who] == cell, many[:, 0], many[:, 1]):
+                    for i in range(0, len(row), 8192):
+                        part = slice(i, i + 8192)
+                        take = pa.array(at[who[row[part]]])
+                        flags = [np.full(len(take), dim), cell[row[part]], left[part], right[part]]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in flags), pa.array(first[part]), *(batch.column(c).take(take) for c in ("id", "key", "n", "v"))], names=["dim", "cell", "left", "right", "home", "id", "key", "n", "v"])
+
+    def join(pair: pa.Table) -> pa.Table:
+        dim, same = pair["dim"][0].as_py(), pair["left"][0].as_py() == pair["right"][0].as_py()
+        guests = pair["right"][0].as_py() >= blocks[dim, pair["cell"][0].as_py()][0]
+        pair = pair.sort_by([("id", "ascending"), ("key", "ascending")])
+        home, ids, keys, n = (pair[c].to_numpy() for c in ("home", "id", "key", "n"))
+        unit = unit_rows(matrix(pair["v"])[0].reshape(-1, dim))
+        other = home if same else ~home
+        count, back, u, v = _linked(unit[home], unit[other], ids[home], ids[other], n[home], n[other], limits.cosine, limits.chunk)
+        # a guest finds its own neighbours where it is at home
+        if not same and not guests:
+            ids, keys, count = np.r_[ids[home], ids[other]], np.r_[keys[home], keys[other]], np.r_[count, back]
+        else:
+            ids, keys = ids[home], keys[home]
+        some = count > 0
+        k, m = int(some.sum()), len(u)
+        columns = [np.r_[ids[some], u], np.r_[keys[some], np.zeros(m, np.int64)], np.r_[count[some], np.zeros(m, np.int64)]]
         links = pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(v, pa.int64())])
         return pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in columns), links], names=["id", "key", "n_near", "other"])
 
     dealt = vectors.select("id", "key", "n", "dim", "v").mapInArrow(deal, schema)
-    found = materialize(dealt.groupBy("dim", "cell", "block").applyInArrow(join, "id long, key long, n_near long, other long"), "near")
+    found = materialize(dealt.groupBy("dim", "cell", "left", "right").applyInArrow(join, "id long, key long, n_near long, other long"), "near")
     label = components(found.filter("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")))
-    near = found.filter("other is null").select(F.col("id").alias("rep"), "key", "n_near")
+    near = found.filter("other is null").groupBy(F.col("id").alias("rep"), "key").agg(F.sum("n_near").alias("n_near"))
     own = vectors.select("v", F.col("id").alias("rep"), "key")
     tagged = rows.withColumn("w", F.when(sound, F.col("v"))).join(own.withColumnRenamed("v", "w"), "w", "left").select("id", "rep", "key")
     joined = tagged.join(near, ["rep", "key"], "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
