@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -326,6 +327,36 @@ def test_html(spark):
     assert found[None] == TEXT[: TEXT.index("Last one")] + "Last" and all(r["n_chars"] == len(r["text"]) for r in got) and len(got) == len(rows)
 
 
+LONG = "The council met on Tuesday, and it spoke about the bridge for hours. Nobody had expected that, least of all the mayor. The vote is due in May; until then, the old bridge stays open."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div style="overflow:hidden"><article><p>{LONG}</p></article></div>',
+        f'<div title="the hidden valley"><p>{LONG}</p></div><p data-hidden="false">{LONG}</p>',
+        f"<form action=x><div><article><p>{LONG}</p></article></div></form>",
+        f"<form action=x><h1>The old bridge</h1><p>{LONG}</p><p>{LONG}</p></form>",
+        f'<div class="content-with-sidebar"><p>{LONG}</p></div>',
+        f'<div class="sidebar-layout"><p>{LONG}</p><p>{LONG}</p><div class="ad">Buy now.</div></div>',
+        f'<article class="post category-reviews"><h1>The old bridge</h1><p>{LONG}</p></article>',
+        f'<div class="widget"><article><p>{LONG}</p></article></div><div class="sidebar"><p>{LONG.replace("bridge", "tower")}</p></div>',
+        f'<aside><div role="main"><p>{LONG}</p></div></aside>',
+    ],
+)
+def test_html_words_do_not_drop_articles(page):
+    """Names and values that only look like boilerplate, and wrappers of whole pages."""
+    wanted = page.replace('<div class="ad">Buy now.</div>', "").split('<div class="sidebar"><p>')[0]
+    assert html_text.main_text(page) == " ".join(re.sub("<[^>]*>", " ", wanted).split())
+
+
+@pytest.mark.parametrize("aside", ["<div hidden><article><p>%s</p></article></div>", '<div class="share">%s</div>', '<section class="comments"><p>%s</p></section>', '<form id="f"><p>%s</p></form>', '<p aria-hidden="true">%s</p>', "<nav>%s</nav>", '<div id=cookie-notice><p>%s</div>', '<article class="comment"><p>%s</p></article>'])
+def test_html_asides_still_go(aside):
+    page = f"<h1>The old bridge</h1>{aside % LONG.replace('bridge', 'tower')}"
+    article = f"<p>{LONG}</p>" * 3
+    assert html_text.main_text(f"<article>{article}</article>{page}").replace("The old bridge", "").strip() == " ".join([LONG] * 3)
+
+
 def test_min_cut_against_all_labellings():
     rng = random.Random(3)
     for _ in range(60):

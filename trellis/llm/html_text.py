@@ -6,6 +6,10 @@ sink (the cost of calling it content).  Smoothness edges join blocks that follow
 are in the DOM, and a block to the one before it under the same parent.  Maximum flow separates content from
 boilerplate: a short line between two paragraphs of the article stays, a link list beside it goes.
 
+Elements that are never content (nav, footer, ...) cost more than anything can outweigh, except that an article or main
+inside starts anew.  What a form holds, or an element whose class or id has a word of boilerplate, has a finite cost; it
+is waived as far as such an element holds nearly all the text, as a wrapper does and a sidebar does not.
+
 Defined cases: a null or empty page, and one without content, give an empty text; unclosed and stray tags, cut pages and
 broken references are read as browsers mostly do; rows that repeat an id are read each by itself; extra columns are not
 read.  Scripts, styles, templates, the head, comments and markup are never text.
@@ -27,9 +31,10 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template iframe object svg math canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-ASIDE_TAGS = frozenset("nav header footer aside form menu dialog button select textarea fieldset option".split())
+ASIDE_TAGS = frozenset("nav header footer aside menu dialog button select textarea option".split())
+FORM_TAGS = frozenset("form fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion banner cookie cookies consent gdpr "
     "notice notices alert popup modal overlay sidebar aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs header masthead "
@@ -38,14 +43,19 @@ ASIDE_WORDS = frozenset(
 )
 READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion reviews".split())
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
+# What follows these in a name says what stands beside the element, or what a post is about, not what the element is.
+BESIDE_WORDS = frozenset("has with no without".split())
+TOPIC_WORDS = frozenset("category tag".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/=>"']++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]*+)))?""")
+_NAMED = frozenset("class id role hidden aria-hidden".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in (*UNSEEN, "title", "textarea")}
 _SENTENCE = re.compile(r"[.!?。！？;:,](?:\s|$)")
 
-MAIN, ASIDE, ASIDE_TAG, READER, LIKELY, LINK = 1, 2, 4, 8, 16, 32
+MAIN, ASIDE, ASIDE_TAG, READER, LIKELY, LINK, HIDDEN = 1, 2, 4, 8, 16, 32, 64
+LEVEL = 128  # the number of elements with ASIDE or READER that a block stands in, in units of this
 
 
 @dataclass(frozen=True)
@@ -56,6 +66,11 @@ class Costs:
     main: float = 6.0
     likely: float = 1.5
     aside: float = -60.0
+    aside_word: float = -9.0
+    reader_word: float = -12.0
+    #: The share of the text from which on, and the one where wholly, the cost of a word is waived.
+    waive_from: float = 0.6
+    waive_at: float = 0.9
     link: float = -4.0
     length: float = 0.9
     sentence: float = 1.2
@@ -76,34 +91,42 @@ class Block:
     tag: str
 
 
+def _words(tag: str, value: str) -> set[str]:
+    """The words of a class or id that say what an element is."""
+    names = [[w.lower() for w in _WORD.findall(name)] for name in value.split()]
+    skip = BESIDE_WORDS | TOPIC_WORDS if tag in MAIN_TAGS or any(len(n) == 1 and n[0] in MAIN_WORDS for n in names) else BESIDE_WORDS
+    return {w for n in names for w in n[: next((k for k, x in enumerate(n) if x in skip), None)]}
+
+
 def _flags(tag: str, attributes: str, flags: int) -> int:
     """What an element adds to the flags of what it stands in."""
-    if tag in MAIN_TAGS:
-        flags = (flags | MAIN) & ~ASIDE
+    named: dict[str, str] = {}
+    if attributes and tag not in ("html", "body"):
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            if name.lower() in _NAMED:
+                named.setdefault(name.lower(), "".join(values))
+    role = named.get("role", "").strip().lower()
+    if tag in MAIN_TAGS or role in ("main", "article"):
+        flags = MAIN | flags & (LIKELY | LINK | HIDDEN)
     elif tag in ASIDE_TAGS:
         flags |= ASIDE_TAG
     elif tag == "a":
         flags |= LINK
-    if attributes and tag not in ("html", "body"):
-        for name, *values in _NAMED.findall(attributes):
-            value, name = "".join(values), name.lower()
-            if name == "role":
-                if value.lower() in ASIDE_ROLES:
-                    flags |= ASIDE_TAG
-                elif value.lower() in ("main", "article"):
-                    flags = (flags | MAIN) & ~ASIDE
-            elif name == "hidden" or name == "aria-hidden":
-                if name == "hidden" or value.lower() == "true":
-                    flags |= ASIDE_TAG
-            else:
-                words = {w.lower() for w in _WORD.findall(value)}
-                if words & READER_WORDS:
-                    flags |= READER
-                elif words & ASIDE_WORDS:
-                    flags |= ASIDE
-                elif words & MAIN_WORDS:
-                    flags |= LIKELY
-    return flags
+    if role in ASIDE_ROLES or named.get("aria-hidden", "").strip().lower() == "true":
+        flags |= ASIDE_TAG
+    if "hidden" in named:
+        flags |= HIDDEN
+    found = ASIDE if tag in FORM_TAGS or role == "form" else 0
+    for name in ("class", "id"):
+        if name in named:
+            words = _words(tag, named[name])
+            if words & READER_WORDS:
+                found |= READER
+            elif words & ASIDE_WORDS:
+                found |= ASIDE
+            elif words & MAIN_WORDS:
+                flags |= LIKELY
+    return (flags | found) + (LEVEL if found else 0)
 
 
 def blocks(page: str) -> list[Block]:
@@ -197,9 +220,29 @@ def _close_implied(stack: list[tuple[str, int, int]], tag: str) -> None:
             return
 
 
-def score(block: Block, costs: Costs) -> float:
+def waived(found: list[Block], costs: Costs) -> list[float]:
+    """The share of the cost of words that is waived for each block.
+
+    It depends on how much of the text, that of articles if there is any, stands in as many elements with such words.
+    """
+    rated = [b for b in found if not b.flags & (ASIDE_TAG | HIDDEN)]
+    articles = any(b.flags & MAIN for b in rated)
+    rated = [b for b in rated if b.flags & MAIN] if articles else rated
+    at_least: dict[int, int] = {}
+    total = 0
+    for b in sorted(rated, key=lambda b: -(b.flags // LEVEL)):
+        total += len(b.text) - b.link_chars
+        at_least[b.flags // LEVEL] = total
+    out = []
+    for b in found:
+        share = at_least.get(b.flags // LEVEL, 0) / max(1, total) if b.flags & MAIN or not articles else 0.0
+        out.append(min(1.0, max(0.0, (share - costs.waive_from) / (costs.waive_at - costs.waive_from))))
+    return out
+
+
+def score(block: Block, costs: Costs, waive: float = 0.0) -> float:
     """Log-odds that a block is content."""
-    if block.flags & (ASIDE | ASIDE_TAG | READER):
+    if block.flags & (ASIDE_TAG | HIDDEN):
         return costs.aside
     n = len(block.text)
     out = costs.bias + costs.length * math.log1p(n / 20) + costs.link * block.link_chars / n
@@ -210,6 +253,10 @@ def score(block: Block, costs: Costs) -> float:
         out += costs.likely
     if block.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         out += costs.heading
+    if block.flags & READER:
+        out += costs.reader_word * (1 - waive)
+    elif block.flags & ASIDE:
+        out += costs.aside_word * (1 - waive)
     return out
 
 
@@ -277,7 +324,7 @@ def min_cut(n: int, source: list[float], sink: list[float], edges: list[tuple[in
 
 def label(found: list[Block], costs: Costs) -> list[bool]:
     """Which blocks are content."""
-    scores = [score(b, costs) for b in found]
+    scores = [score(b, costs, w) for b, w in zip(found, waived(found, costs), strict=True)]
     edges, before = [], {}
     for i, b in enumerate(found):
         if i:
