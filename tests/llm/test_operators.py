@@ -406,6 +406,29 @@ def test_salvage(packed):
         assert gzip.decompress(data[found[1][0] : found[1][1]]) == whole[0]
 
 
+def test_salvage_of_members_with_several_records(monkeypatch):
+    whole = [warc.record("response", i, f"http://x/{i}", (text := f"payload {i} ".encode() * 40), warc.digest(text)) for i in range(6)]
+    broken = whole[3].replace(b"payload", b"PAYLOAD")
+
+    def read(data):
+        return [(a, b, r and int(r.headers["warc-record-id"][-2]), bool(why)) for a, b, r, why in warc.salvage(io.BytesIO(data), len(data))]
+
+    for step in (64, 1 << 18):
+        monkeypatch.setattr(warc, "_STEP", step)
+        data = gzip.compress(b"".join(whole))
+        assert read(data) == [(0, len(data), i, False) for i in range(6)]
+        two = [warc.member(whole[0] + whole[1]), warc.member(whole[2] + b"junk" + broken + whole[4] + b"rest"), warc.member(whole[5])]
+        a, b, c = len(two[0]), len(two[0] + two[1]), len(b"".join(two))
+        assert read(b"".join(two)) == [(0, a, 0, False), (0, a, 1, False), (a, b, 2, False), (a, b, None, True), (a, b, 4, False), (a, b, None, True), (b, c, 5, False)]
+        # a false length neither fills the memory nor hides what follows
+        false = whole[1].replace(b"Content-Length: ", b"Content-Length: 99999999")
+        assert [r for _, _, r, _ in read(gzip.compress(whole[0] + false + whole[2]))] == [0, None, 2]
+    # a cut archive: what was whole before the cut is found, the rest is a gap
+    big = [warc.record("response", i, "u", (text := random.Random(i).randbytes(300_000)), warc.digest(text)) for i in range(5)]
+    data = gzip.compress(b"".join(big))[:-400_000]
+    assert read(data + warc.member(whole[5])) == [(0, 0, 0, False), (0, 0, 1, False), (0, 0, 2, False), (0, len(data), None, True), (len(data), len(data) + len(warc.member(whole[5])), 5, False)]
+
+
 # empty tables -----------------------------------------------------------------------------------------
 def test_empty_tables(spark, nothing):
     assert suffix_dedup.dedup_suffixes(nothing).isEmpty() and substring.dedup_substrings(nothing).isEmpty() and jaccard.link_documents(nothing).isEmpty()

@@ -6,7 +6,9 @@ lost executor, speculation) adds nothing twice: files of attempts that did not c
 
 The reader checks version line, headers, length and digests of every record.  When a check fails it searches for the
 next gzip member or version line that starts a whole valid record, goes on from there, and logs the bytes in between as
-a gap.  It holds one record at a time.
+a gap.  A member is inflated record by record, however many it holds (an archive gzipped as a whole is one member); its
+records and the gaps between them have the bounds of the member.  Records found before the place where a member is
+damaged have its start alone, and the gap starts there too.  The reader holds a few records at a time.
 
 Defined cases: a null payload is empty; a null id is written as such and read back as null; an empty table makes no
 archive; rows that repeat id and payload are all responses when the id is the group's smallest; extra columns are
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import urllib.parse
 import uuid
@@ -35,6 +38,7 @@ from trellis.llm.shared import fresh_path, materialize
 _ID = "urn:trellis:row:"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n", re.I)
 _STEP = 1 << 18
 _MOST_HEADER = 1 << 20
 
@@ -117,14 +121,19 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 16 << 20)
 class Record:
     headers: dict[str, str]
     block: bytes
+    end: int
 
 
 class Broken(ValueError):
     """A record that fails a check."""
 
 
+class Damaged(Broken):
+    """A gzip member that cannot be inflated to its end."""
+
+
 def parse_record(data: bytes) -> Record:
-    """The record that ``data`` is, wholly checked."""
+    """The record that ``data`` starts with, wholly checked, and its end."""
     if not _VERSION.match(data):
         raise Broken("no version line")
     end = data.find(b"\r\n\r\n", 0, _MOST_HEADER)
@@ -148,23 +157,124 @@ def parse_record(data: bytes) -> Record:
     named = headers.get("warc-block-digest", "")
     if named.startswith("sha1:") and named[5:] != digest(block):
         raise Broken("block digest differs")
-    return Record(headers, block)
-
-
-def _member_at(file, at: int, size: int) -> tuple[bytes, int]:
-    """What the gzip member at ``at`` holds, and its end."""
-    z, parts, pos = zlib.decompressobj(31), [], at
-    while not z.eof:
-        file.seek(pos)
-        chunk = file.read(min(_STEP, size - pos))
-        if not chunk:
-            raise Broken("cut member")
+    return Record(headers, block, end + 4 + len(block) + 4)
+
+
+class _Member:
+    """The records of the gzip member at ``at``, inflated as far as they are asked for."""
+
+    def __init__(self, file, at: int, size: int):
+        self.file, self.at, self.size = file, at, size
+        self.z, self.pos, self.tail = zlib.decompressobj(31), at, b""
+        self.held, self.taken = bytearray(), 0
+        self.damage = ""
+
+    @property
+    def end(self) -> int:
+        return self.pos - len(self.z.unused_data)
+
+    def _more(self) -> bool:
+        """Inflate a step; False at the end of the member."""
+        if self.z.eof:
+            return False
+        if not self.tail:
+            self.file.seek(self.pos)
+            self.tail = self.file.read(min(_STEP, self.size - self.pos))
+            self.pos += len(self.tail)
+        last = not self.tail
         try:
-            parts.append(z.decompress(chunk))
+            out = self.z.decompress(self.tail, _STEP)
         except zlib.error as e:
-            raise Broken(f"bad member: {e}") from None
-        pos += len(chunk)
-    return b"".join(parts), pos - len(z.unused_data)
+            raise Damaged(f"bad member: {e}") from None
+        if last and not out and not self.z.eof:
+            raise Damaged("cut member")
+        self.tail = self.z.unconsumed_tail
+        self.held += out
+        return True
+
+    def _drop(self, n: int) -> None:
+        del self.held[:n]
+        self.taken += n
+
+    def whole(self) -> tuple[int, int, str]:
+        """The end of the member, the size of its data, and what is wrong with it, from a pass of its own."""
+        if not hasattr(self, "_whole"):
+            other = _Member(self.file, self.at, self.size)
+            try:
+                while other._more():
+                    other._drop(len(other.held))
+            except Damaged as e:
+                other.damage = str(e)
+            self._whole = other.end, other.taken + len(other.held), other.damage
+        return self._whole
+
+    def _need(self, n: int) -> bool:
+        # a false length must not fill the memory
+        if n - len(self.held) > 4 * _STEP and self.taken + n > self.whole()[1]:
+            return False
+        while len(self.held) < n and self._more():
+            pass
+        return len(self.held) >= n
+
+    def _take(self) -> Record:
+        """The next record."""
+        self._need(10)
+        if not _VERSION.match(self.held):
+            raise Broken("no version line")
+        end = at = 0
+        while (end := self.held.find(b"\r\n\r\n", at)) < 0 and len(self.held) < _MOST_HEADER:
+            at = max(0, len(self.held) - 3)
+            if not self._more():
+                break
+        found = _LENGTH.search(self.held, 0, end + 2) if end >= 0 else None
+        n = end + 4 + int(found[1]) + 4 if found else len(self.held)
+        if not self._need(n):
+            raise Damaged(self.whole()[2]) if self.whole()[2] else Broken("short block")
+        found = parse_record(bytes(self.held[:n]))
+        self._drop(found.end)
+        return found
+
+    def _skip(self) -> None:
+        """To the next version line, or the end."""
+        at = 1
+        while (hit := self.held.find(b"WARC/1.", at)) < 0:
+            if len(self.held) > 6:
+                self._drop(len(self.held) - 6)
+                at = 0
+            if not self._more():
+                self._drop(len(self.held))
+                return
+        self._drop(hit)
+
+    def records(self) -> Iterator[tuple[Record | None, str]]:
+        """(record, reason), None for a gap.  A record counts when what follows it, or the member's end, is sound."""
+        before, lost = None, ""
+        try:
+            while self._need(1):
+                try:
+                    found = self._take()
+                except Damaged:
+                    raise
+                except Broken as e:
+                    if before:
+                        yield before, ""
+                    before, lost = None, lost or str(e)
+                    self._skip()
+                    continue
+                if before:
+                    yield before, ""
+                if lost:
+                    yield None, lost
+                before, lost = found, ""
+        except Damaged as e:
+            self.damage = str(e)
+            if before and _VERSION.match(self.held):
+                yield before, ""
+            return
+        if before:
+            yield before, ""
+        if lost:
+            yield None, lost
 
 
 def _plain_at(file, at: int, size: int) -> tuple[bytes, int]:
@@ -172,7 +282,7 @@ def _plain_at(file, at: int, size: int) -> tuple[bytes, int]:
     file.seek(at)
     head = file.read(min(_MOST_HEADER, size - at))
     end = head.find(b"\r\n\r\n")
-    found = re.search(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n", head[: end + 2], re.I) if end >= 0 else None
+    found = _LENGTH.search(head, 0, end + 2) if end >= 0 else None
     if not _VERSION.match(head) or not found:
         raise Broken("no record here")
     length = end + 4 + int(found[1]) + 4
@@ -204,17 +314,31 @@ def salvage(file, size: int) -> Iterator[tuple[int, int, Record | None, str]]:
         file.seek(at)
         lead = file.read(3)
         try:
-            data, end = _member_at(file, at, size) if lead == _MAGIC else _plain_at(file, at, size)
-            found = parse_record(data)
+            if lead == _MAGIC:
+                member = _Member(file, at, size)
+                items = member.records()
+                some = list(itertools.islice(items, 2))  # of two in a row, one is a record
+                if not any(found for found, _ in some):
+                    raise Broken(member.damage or next((why for _, why in some), "empty member"))
+                end, _, damage = member.whole() if len(some) > 1 else (member.end, 0, member.damage)
+            else:
+                data, end = _plain_at(file, at, size)
+                some, items, damage = [(parse_record(data), "")], (), ""
         except Broken as e:
             reason = reason or str(e)
             at = _next_start(file, at + 1, size)
             continue
         if gap < at:
             yield gap, at, None, reason
-        yield at, end, found, ""
-        at = gap = end
-        reason = ""
+        for found, why in itertools.chain(some, items):
+            if found or not damage:
+                yield at, at if damage else end, found, why
+        if damage:
+            gap, reason = at, damage
+            at = _next_start(file, at + 1, size)
+        else:
+            at = gap = end
+            reason = ""
     if gap < size:
         yield gap, size, None, reason
 
