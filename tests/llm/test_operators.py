@@ -92,6 +92,15 @@ def test_without_repeats_keeps_columns(docs):
     assert out.columns == with_extras(docs).columns and out.filter("text is null or trim(text) = ''").isEmpty()
 
 
+def test_without_repeats_keeps_replacement_marks(spark):
+    """U+FFFD in the texts stays; only the bytes of cut characters go."""
+    line = "a \ufffd line that both of the texts hold, with an ü and a \ufffd"
+    rows = [(1, "one \ufffd text without any repeat \ufffd\ufffd."), (2, f"é{line}é"), (3, f"first è{line}è \ufffd last"), (4, "\ufffd")]
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    want = {i: bytes(b for b, g in zip(data, gone) if not g).decode("utf-8", "ignore") for i, data, gone in brute.removed(rows, lambda t: t.encode(), 50)}
+    assert got == want and got[1] == rows[0][1] and got[4] == "\ufffd" and "\ufffd last" in got[3]
+
+
 @pytest.mark.parametrize("window", [50, 12, 3])
 def test_substring_dedup(docs, window):
     got = substring.dedup_substrings(with_extras(docs), window=window)

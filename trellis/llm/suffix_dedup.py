@@ -218,10 +218,10 @@ def _shard(length: int, memory: int):
     return reply
 
 
-def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, hot: int = 256, memory: int = 1 << 24, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, hot: int = 256, memory: int = 1 << 24, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept (binary), spans (removed runs of bytes).
 
-    Columns named in ``carry`` follow.  ``length`` at most CAP; ``hot``: the occurrences from which a minimizer is split; ``memory``: symbols of a shard
+    Columns named in ``carry`` follow; ``as_text``: kept as a string, without the bytes of cut characters.  ``length`` at most CAP; ``hot``: the occurrences from which a minimizer is split; ``memory``: symbols of a shard
     that are sorted without disk.
     """
     if not gram <= length <= CAP or gram < 8:
@@ -265,13 +265,15 @@ def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         edge = np.bincount(hit, minlength=n + length + 1).astype(np.int32)
         edge[length:] -= edge[:-length].copy()
         found = _kept(docs, unit, np.cumsum(edge)[:n] > 0, id_col)
+        if as_text:
+            found = found.set_column(found.schema.get_field_index("kept"), "kept", _texts(found["kept"]))
         for c, name in zip(carry, carried, strict=True):
             found = found.append_column(c, docs[name])
         return found
 
     shared = answer(layout.ask(ask), _anchors(hot))
     found = answer(layout.join_ask(shared, send), _shard(length, memory))
-    schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<first: long, last: long>>" + layout.carried_ddl
+    schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, spans array<struct<first: long, last: long>>" + layout.carried_ddl
     return layout.join(shared.unionByName(found), finish, schema)
 
 
@@ -294,15 +296,15 @@ def _kept(docs: pa.Table, unit: _Unit, removed: np.ndarray, id_col: str) -> pa.T
     return pa.Table.from_arrays(columns, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
 
-def _valid_utf8(column: F.Column) -> F.Column:
-    """Text without the replacement marks that broken characters become, unless they were there before."""
-    return F.replace(F.make_valid_utf8(column), F.lit("\ufffd"), F.lit(""))
+def _texts(kept: pa.ChunkedArray) -> pa.Array:
+    """Kept bytes as text without the bytes of characters that were cut; U+FFFD that was there before stays."""
+    return pa.array([x.as_py().decode("utf-8", "ignore") for x in kept], pa.string())
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """``df`` with repeated strings cut from its texts; bytes of a cut character go, and rows that keep no word go."""
     others = [c for c in df.columns if c not in (id_col, text_col)]
     names = {c: f"__carried{i}" for i, c in enumerate(others)}
-    found = dedup_suffixes(df.withColumnsRenamed(names), id_col, text_col, length, carry=tuple(names.values()))
-    rows = found.withColumn("kept_text", _valid_utf8(F.col("kept").cast("string"))).filter(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    found = dedup_suffixes(df.withColumnsRenamed(names), id_col, text_col, length, carry=tuple(names.values()), as_text=True)
+    rows = found.withColumnRenamed("kept", "kept_text").filter(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     return rows.select(*(F.col("kept_text" if c == text_col else names.get(c, c)).alias(c) for c in df.columns))
