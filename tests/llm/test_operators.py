@@ -17,6 +17,7 @@ from tests.llm import brute
 from trellis.llm import html_text, jaccard, mixing, neardup, pieces, quality, substring, suffix_dedup, tokens, warc
 from trellis.llm.components import components
 from trellis.llm.induced import CAP, suffix_sort
+from trellis.llm.rounds import Layout
 
 DOCS = "doc_id long, text string"
 
@@ -109,6 +110,38 @@ def test_substring_dedup(docs, window):
     assert all(sum(s["last"] - s["first"] for s in r["spans"]) == r["n_removed"] for r in got.collect())
 
 
+@pytest.mark.parametrize("same", [None, 7])
+def test_rows_of_one_id_are_dealt_out(spark, monkeypatch, same):
+    """A third of the rows without an id, or with one id: no unit and no block of the mixture holds them all."""
+    from pyspark.sql import GroupedData
+
+    rows = [(same if i % 3 == 0 else i, " ".join(f"w{i}x{k}" for k in range(1 + i % 40)), "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert max(r["count"] for r in Layout(df, "doc_id", "text").docs.groupBy("g").count().collect()) < 150
+    plain = GroupedData.applyInPandas
+
+    def bounded(grouped, func, schema):
+        def checked(pdf):
+            assert pdf["single"].iloc[0] or len(pdf) <= 200, f"a block holds {len(pdf)} rows"
+            return func(pdf)
+
+        return plain(grouped, checked, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", bounded)
+    assert mixing.mix_sources(df, mix=mixing.Mix(block_rows=100)).count() == len(rows)
+
+
+def test_one_id_on_many_texts(spark):
+    """Repeats among rows of one id, which are in several units, against the plain versions."""
+    docs = [(None if i % 2 else 3, text) for i, (_, text) in enumerate(corpus(5))]
+    df = spark.createDataFrame(docs, DOCS)
+    got = suffix_dedup.dedup_suffixes(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert Counter(tuple(r) for r in got.collect()) == brute.suffix_rows(docs, 50)
+    got = substring.dedup_substrings(df, window=12).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256))
+    assert Counter(tuple(r) for r in got.collect()) == brute.substring_rows(docs, 12)
+    assert Counter(tuple(r) for r in jaccard.link_documents(df).collect()) == brute.jaccard_rows(docs, 4, 85)
+
+
 def test_covers_hold_every_difference():
     for period, cover in substring.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))

@@ -143,7 +143,9 @@ def _round(rows: DataFrame, blocks: int, seed: int, reserve: int) -> DataFrame:
 def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", mix: Mix = Mix()) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, copies, taken."""
     size = F.coalesce(F.regexp_count(df[text_col].cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    rows = materialize(df.select(df[id_col].alias("id"), df[source_col].cast("string").alias("src"), size.alias("size")), "mix-sizes")
+    # rows that repeat an id are dealt by their text too
+    row_hash = F.xxhash64(df[id_col], df[text_col].cast("string"), F.lit(mix.seed))
+    rows = materialize(df.select(df[id_col].alias("id"), df[source_col].cast("string").alias("src"), size.alias("size"), row_hash.alias("row_hash")), "mix-sizes")
     spark = df.sparkSession
     totals = rows.groupBy("src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(mix.max_sources + 1).collect()
     if len(totals) > mix.max_sources:
@@ -152,7 +154,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     table = [(r["src"], r["s"], float(aims[r["src"]]), float(aims[r["src"]] / r["s"]) if r["s"] else 0.0, -(-r["n"] // mix.block_rows)) for r in totals]
     by_source = spark.createDataFrame(table, "src string, source_size long, target double, rate double, n_blocks long")
     joined = rows.join(by_source, rows["src"].eqNullSafe(by_source["src"]), "left").drop(by_source["src"])
-    joined = joined.withColumns({"whole": F.floor(F.col("rate") + 1e-12).cast("long"), "row_hash": F.xxhash64(F.col("id"), F.lit(mix.seed))})
+    joined = joined.withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("long"))
     joined = joined.withColumn("p", F.when((F.col("size") > 0) & (F.col("rate") - F.col("whole") > 1e-9), F.col("rate") - F.col("whole")).otherwise(F.lit(0.0)))
     joined = joined.withColumn("single", F.col("n_blocks") <= 1)
     undecided = (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)

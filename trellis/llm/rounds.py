@@ -1,6 +1,7 @@
 """Rounds of messages between units of documents and buckets of keys.
 
-A unit is a few megabytes of whole documents, dealt by a hash of the document id; a bucket is a share of the key space.
+A unit is a few megabytes of whole documents, dealt by a hash of id and text, so that many rows with one id (or none) are
+many units' rows; only rows that are equal in both stay together.  A bucket is a share of the key space.
 A unit sends each bucket one packed blob of its distinct keys (whatever repeats inside a unit is sent once, so a group
 of copies costs one entry per unit, not one per copy), and the bucket answers each unit with bits in the order of the
 blob.  Units and buckets grow in number with the input and each fits a task's memory.
@@ -40,7 +41,7 @@ class Layout:
         self.carried_ddl = "".join(f", `{c}` {source.schema[name].dataType.simpleString()}" for c, name in zip(carry, self.carried, strict=True))
         total = text_bytes(source)
         self.n_units, self.n_buckets = units(total, unit_bytes), units(total, bucket_bytes)
-        self.docs = source.select(F.pmod(F.xxhash64("id"), F.lit(self.n_units)).cast("int").alias("g"), "id", "text", *self.carried)
+        self.docs = source.select(F.pmod(F.xxhash64("id", "text"), F.lit(self.n_units)).cast("int").alias("g"), "id", "text", *self.carried)
 
     def ask(self, unit: Callable[[pa.Table], Iterable[Message]]) -> DataFrame:
         """Messages of each unit."""
