@@ -162,6 +162,24 @@ def test_jaccard_chains(spark):
     assert got == brute.jaccard_rows(rows, 4, 85) and len({r[2] for r in got}) == 1
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_family_over_many_blocks(spark, monkeypatch, seed):
+    """A family of near copies whose pairs lie on both sides of the threshold, cut into blocks of a few sets."""
+    monkeypatch.setattr(jaccard, "_BLOCK_SETS", 6)
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        rows.append((1000 - i, " ".join(words[: rng.choice([90, 90, 88, 80])])))
+    rows += [(i, rows[i][1]) for i in range(20)]
+    want = brute.jaccard_rows(rows, 4, 85)
+    assert len({r[2] for r in want}) > 10
+    assert Counter(tuple(r) for r in jaccard.link_documents(spark.createDataFrame(rows, DOCS)).collect()) == want
+
+
 def test_one_per_group(docs):
     kept = [r["doc_id"] for r in jaccard.one_per_group(docs).collect()]
     want = brute.jaccard_rows(corpus(), 4, 85)

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is partial aggregates and joins on node ids, which adaptive execution can split when one node has very many
-links; nothing is collected.  Rounds are cut by tables in the shared folder.
+links; nothing is collected.  Rounds are cut by tables in the shared folder; a round's
+table goes when the next one stands.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.shared import materialize
+from trellis.llm.shared import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     total = None
     while True:
-        now = materialize(_small_star(_large_star(now)), "links")
+        last, now = now, materialize(_small_star(_large_star(now)), "links")
+        discard(last)
         # a star forest keeps its links: compare their number and sums
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == total:

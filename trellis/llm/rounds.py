@@ -12,6 +12,7 @@ same order, also after a lost executor.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -47,7 +48,7 @@ class Layout:
         """Messages of each unit."""
 
         def run(docs: pa.Table) -> pa.Table:
-            return _table(unit(in_order(docs)))
+            return trimmed(_table(unit(in_order(docs))))
 
         return self.docs.groupBy("g").applyInArrow(run, MESSAGES)
 
@@ -58,7 +59,7 @@ class Layout:
             if not docs.num_rows:
                 return nothing(schema)
             got = {(k, b): blob for k, b, blob in zip(sent["kind"].to_pylist(), sent["b"].to_pylist(), sent["blob"].to_pylist(), strict=True)}
-            return unit(in_order(docs), got)
+            return trimmed(unit(in_order(docs), got))
 
         return self.docs.groupBy("g").cogroup(messages.groupBy("g")).applyInArrow(run, schema)
 
@@ -71,11 +72,19 @@ def answer(messages: DataFrame, bucket: Callable[[list[tuple[int, bytes]], int],
 
     def run(sent: pa.Table) -> pa.Table:
         pairs = sorted(zip(sent["g"].to_pylist(), sent["blob"].to_pylist(), strict=True))
-        return _table(bucket(pairs, sent["b"][0].as_py()))
+        return trimmed(_table(bucket(pairs, sent["b"][0].as_py())))
 
     return messages.groupBy("b").applyInArrow(run, MESSAGES)
 
 
+def trimmed(table: pa.Table) -> pa.Table:
+    """``table``, after the worker gave back the memory that it no longer uses: workers live on into later stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+    return table
+
+
 def nothing(schema: str) -> pa.Table:
     """An empty table of a schema."""
     return to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()

@@ -38,6 +38,14 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing will read again."""
+    spark = df.sparkSession
+    paths = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for path in (spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts (nulls count nothing)."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()["b"]
