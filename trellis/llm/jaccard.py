@@ -38,7 +38,7 @@ from trellis.llm.words import U64, Words, flatten, mix, packed, slices
 
 _CLASSES = 64
 #: What a block of sets holds at most (as dealt by hash), and a task about.
-_BLOCK_SETS, _BLOCK_BYTES, _TASK_BYTES = 2048, 6 << 20, 12 << 20
+_BLOCK_SETS, _BLOCK_BYTES, _TASK_BYTES = 512, 6 << 20, 12 << 20
 
 
 @dataclass(frozen=True)

@@ -1,13 +1,15 @@
 """Suffix-array dedup of byte strings.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts in a document with a smaller id, judged on
-the input.  Shards are made so that equal strings always meet: each string goes with the least hashed ``gram`` bytes
-inside it (its minimizer), and the consecutive strings of a document with one minimizer travel as one piece of text.
-Pieces whose minimizer occurs in one document alone are left at home.  A shard holds its distinct pieces, each once, and
-sorts all their suffixes with the external induced sort (``induced``); neighbours in the suffix array that share
-``length`` bytes are equal strings, and each string learns whether a smaller document has it.
-
-A minimizer with very many occurrences (the edge of a passage that a third of all documents quote, each in its own
+the input.  Shards are made so that equal strings always meet: a string has the least hashed ``gram`` bytes inside it (its
+minimizer) together with half of its other bytes before or behind them, whichever side has room first; these bytes are
+the string's anchor, equal strings have equal ones, and the consecutive strings of a document with one anchor travel as
+one piece of text.  Pieces whose anchor occurs in one document alone are left at home, so what travels are repeats, not
+words that many texts use.  A shard holds its distinct pieces, each once, and sorts all their suffixes with the external
+induced sort (``induced``); neighbours in the suffix array that share ``length`` bytes are equal strings, and each string
+learns whether a smaller document has it.
+
+An anchor with very many occurrences (the edge of a passage that a third of all documents quote, each in its own
 surroundings) is split: its strings travel singly, dealt by their own hash, after those that repeat inside a unit are
 merged.
 
@@ -46,7 +48,7 @@ def _eights(data: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Unit:
-    """Pieces of a unit's documents: runs of strings with one minimizer."""
+    """Pieces of a unit's documents: runs of strings with one anchor."""
 
     def __init__(self, docs: pa.Table, length: int, gram: int):
         self.length, self.gram = length, gram
@@ -74,8 +76,8 @@ class _Unit:
         if n < self.length:
             return (np.zeros(0, np.int64),) * 4
         m = n - self.gram + 1
-        key = _eights(data, n - 7)
-        key = mix(key[:m] * U64(0x9E3779B97F4A7C15) ^ (key[self.gram - 8 : self.gram - 8 + m] + U64(0x7F4A7C15)) * U64(0xD6E8FEB86659FD93)) & ~U64(3)
+        eights = _eights(data, n - 7)
+        key = mix(eights[:m] * U64(0x9E3779B97F4A7C15) ^ (eights[self.gram - 8 : self.gram - 8 + m] + U64(0x7F4A7C15)) * U64(0xD6E8FEB86659FD93))
         parts = []
         for at in range(0, m, 1 << 23):  # positions fit the low bits
             here = key[at : at + (1 << 23) + span]
@@ -93,15 +95,21 @@ class _Unit:
         start, where, doc = start[whole], where[whole], doc[whole]
         if not len(start):
             return (np.zeros(0, np.int64),) * 4
-        new = np.r_[True, (where[1:] != where[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]
+        half = (self.length - self.gram) // 2
+        before = where - start >= half  # else there is room behind the minimizer
+        new = np.r_[True, (where[1:] != where[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (before[1:] != before[:-1])]
         at = np.flatnonzero(new)
-        return start[at] + base, start[np.r_[at[1:], len(start)] - 1] + base, key[where[at]], doc[at] + i
+        anchor = where[at] - np.where(before[at], half, 0)
+        size, found = half + self.gram, np.where(before[at], U64(1), U64(2))
+        for k in (*range(0, size - 8, 8), size - 8):
+            found = mix((found + eights[anchor + k]) * U64(0x9E3779B97F4A7C15))
+        return start[at] + base, start[np.r_[at[1:], len(start)] - 1] + base, found & ~U64(3), doc[at] + i
 
     def anchors(self, buckets: int) -> Spread:
         return Spread(self.keys >> U64(2), buckets)
 
     def contents(self, shared: np.ndarray, hot: np.ndarray, buckets: int) -> None:
-        """The distinct pieces with a shared minimizer, with the smallest id that has each; hot ones string by string."""
+        """The distinct pieces with a shared anchor, with the smallest id that has each; hot ones string by string."""
         take, burst = shared[self.key_of], hot[self.key_of] & shared[self.key_of]
         plain = np.flatnonzero(take & ~burst)
         split = np.flatnonzero(burst)
@@ -124,7 +132,7 @@ class _Unit:
         self.owner = self.ids[doc]
         np.minimum.at(self.least, self.piece_of, self.owner)
         one = np.zeros(len(self.least), np.int64)
-        one[self.piece_of] = np.arange(len(self.piece_of))  # any occurrence: equal pieces have one minimizer
+        one[self.piece_of] = np.arange(len(self.piece_of))  # any occurrence: equal pieces have one anchor
         route = np.r_[self.key[plain], np.zeros(len(single), U64)][one] >> U64(2)
         alone = np.r_[np.zeros(len(plain), bool), np.ones(len(single), bool)][one]
         if alone.any():
@@ -145,16 +153,29 @@ def _concatenated(bounds: np.ndarray, data: np.ndarray, chosen: np.ndarray) -> n
     return data[np.arange(int(size.sum())) + np.repeat(bounds[chosen] - (np.cumsum(size) - size), size)]
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending anchors of one bucket, by their upper 32 bits (a collision can only make a piece travel), and what they weigh."""
+    upper = (keys >> U64(32)).astype(np.uint32)
+    planes = np.diff(upper, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return packed(np.array([len(keys)], np.int64), planes, (keys & U64(3)).astype(np.uint8))
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    planes = np.frombuffer(blob, np.uint8, 4 * n, 8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32), np.frombuffer(blob, np.uint8, n, 8 + 4 * n)
+
+
 def _anchors(most: int):
     """Tell each unit which anchors two documents have, and which are hot."""
 
     def reply(pairs: list[tuple[int, bytes]], bucket: int) -> Iterable[Message]:
-        parts = [np.frombuffer(blob, U64) for _, blob in pairs]
-        keys = np.concatenate(parts)
+        parts, levels = zip(*(_unpacked(blob) for _, blob in pairs), strict=True)
+        keys, level = np.concatenate(parts), np.concatenate(levels)
         order = np.argsort(keys)
         ranked = keys[order]
-        group = np.cumsum(np.r_[0, (ranked[1:] >> U64(2)) != (ranked[:-1] >> U64(2))])
-        weight = np.bincount(group, weights=_WEIGHTS[(ranked & U64(3)).astype(np.int64)])
+        group = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]])
+        weight = np.bincount(group, weights=_WEIGHTS[level[order]])
         total = np.empty(len(keys))
         total[order] = weight[group]
         at = 0
@@ -221,7 +242,7 @@ def _shard(length: int, memory: int):
 def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, hot: int = 256, memory: int = 1 << 24, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept (binary), spans (removed runs of bytes).
 
-    Columns named in ``carry`` follow; ``as_text``: kept as a string, without the bytes of cut characters.  ``length`` at most CAP; ``hot``: the occurrences from which a minimizer is split; ``memory``: symbols of a shard
+    Columns named in ``carry`` follow; ``as_text``: kept as a string, without the bytes of cut characters.  ``length`` at most CAP; ``hot``: the occurrences from which an anchor is split; ``memory``: symbols of a shard
     that are sorted without disk.
     """
     if not gram <= length <= CAP or gram < 8:
@@ -232,7 +253,7 @@ def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def ask(docs: pa.Table) -> Iterable[Message]:
         unit = _Unit(docs, length, gram)
         for b, at in unit.anchors(buckets).parts():
-            yield unit_of(docs), b, 0, packed(unit.keys[at])
+            yield unit_of(docs), b, 0, _packed(unit.keys[at])
 
     def send(docs: pa.Table, got: dict) -> Iterable[Message]:
         unit = _pieces(docs, got)
