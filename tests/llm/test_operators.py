@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from trellis.llm import html_text, jaccard, mixing, neardup, pieces, quality, substring, suffix_dedup, tokens, warc
+from trellis.llm import html_text, induced, jaccard, mixing, neardup, pieces, quality, substring, suffix_dedup, tokens, warc
 from trellis.llm.components import components
 from trellis.llm.induced import CAP, suffix_sort
 from trellis.llm.rounds import Layout
@@ -75,6 +76,25 @@ def test_suffix_sort(seed, tmp_path):
     assert list(shared) == [0, *(common(a, b) for a, b in zip(plain, plain[1:]))]
 
 
+@pytest.mark.parametrize("width", [np.uint8, np.uint16])
+def test_suffix_sort_of_ten_times_its_memory(tmp_path, monkeypatch, width):
+    """Names recur in recursion, tuples go through disk, and what the sort allocates follows its budget, not the text."""
+    rng = np.random.default_rng(7)
+    half = rng.integers(1, 25, 60_000).astype(width)
+    text, budget, spilled = np.r_[half, half], 12_000, []
+    close = induced.SuffixQueue.close
+    monkeypatch.setattr(induced.SuffixQueue, "close", lambda q: (spilled.append(q.spilled), close(q)))
+    want = suffix_sort(text, 1 << 30, None, 50)
+    assert not any(spilled)
+    tracemalloc.start()
+    got = suffix_sort(text, budget, str(tmp_path), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
+    assert max(spilled) > budget and peak < 150 * budget < 16 * len(text)
+    assert not list(tmp_path.iterdir())
+
+
 @pytest.mark.parametrize(("length", "gram", "hot"), [(50, 16, 256), (50, 16, 2), (20, 8, 3)])
 def test_suffix_dedup(docs, length, gram, hot):
     got = suffix_dedup.dedup_suffixes(with_extras(docs), length=length, gram=gram, hot=hot, memory=500)

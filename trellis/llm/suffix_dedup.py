@@ -57,7 +57,7 @@ class _Unit:
         parts = [self._pieces(i, j) for i, j in slices(self.offsets, _SLICE)]
         self.first, self.last, self.key, self.doc = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
         self.key = self.key.astype(U64)
-        order = np.argsort(self.key, kind="stable")
+        order = np.argsort(self.key)
         ranked = self.key[order]
         new = np.r_[True, ranked[1:] != ranked[:-1]] if len(ranked) else np.zeros(0, bool)
         start = np.flatnonzero(new)
@@ -87,23 +87,25 @@ class _Unit:
                 step = min(width, span - width)
                 least = np.minimum(least[:-step], least[step:])
                 width += step
-            parts.append((least & _LOW).astype(np.int64)[: 1 << 23] + at)
-        where = np.concatenate(parts)[: n - self.length + 1]
-        start = np.arange(len(where))
-        doc = np.repeat(np.arange(j - i), np.diff(offsets))[: len(where)]
-        whole = start + self.length <= offsets[doc + 1]
-        start, where, doc = start[whole], where[whole], doc[whole]
-        if not len(start):
-            return (np.zeros(0, np.int64),) * 4
+            parts.append((least & _LOW).astype(np.int32)[: 1 << 23] + np.int32(at) if n < 1 << 31 else (least & _LOW).astype(np.int64)[: 1 << 23] + at)
+        where = (np.concatenate(parts) if len(parts) > 1 else parts[0])[: n - self.length + 1]
         half = (self.length - self.gram) // 2
-        before = where - start >= half  # else there is room behind the minimizer
-        new = np.r_[True, (where[1:] != where[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (before[1:] != before[:-1])]
+        before = where - np.arange(len(where), dtype=where.dtype) >= half  # else there is room behind the minimizer
+        new = np.empty(len(where), bool)
+        new[0] = True
+        new[1:] = (where[1:] != where[:-1]) | (before[1:] != before[:-1])
+        for edge in (offsets[:-1], offsets[1:] - self.length + 1):  # where a document begins, and where its strings end
+            new[edge[(edge >= 0) & (edge < len(new))]] = True
         at = np.flatnonzero(new)
-        anchor = where[at] - np.where(before[at], half, 0)
+        last = np.r_[at[1:], len(new)] - 1
+        doc = np.searchsorted(offsets, at, "right") - 1
+        whole = at + self.length <= offsets[doc + 1]
+        at, last, doc = at[whole], last[whole], doc[whole]
+        anchor = where[at].astype(np.int64) - np.where(before[at], half, 0)
         size, found = half + self.gram, np.where(before[at], U64(1), U64(2))
         for k in (*range(0, size - 8, 8), size - 8):
             found = mix((found + eights[anchor + k]) * U64(0x9E3779B97F4A7C15))
-        return start[at] + base, start[np.r_[at[1:], len(start)] - 1] + base, found & ~U64(3), doc[at] + i
+        return at + base, last + base, found & ~U64(3), doc + i
 
     def anchors(self, buckets: int) -> Spread:
         return Spread(self.keys >> U64(2), buckets)
@@ -239,11 +241,11 @@ def _shard(length: int, memory: int):
     return reply
 
 
-def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, hot: int = 256, memory: int = 1 << 24, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, hot: int = 256, memory: int = 1 << 21, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept (binary), spans (removed runs of bytes).
 
-    Columns named in ``carry`` follow; ``as_text``: kept as a string, without the bytes of cut characters.  ``length`` at most CAP; ``hot``: the occurrences from which an anchor is split; ``memory``: symbols of a shard
-    that are sorted without disk.
+    Columns named in ``carry`` follow; ``as_text``: kept as a string, without the bytes of cut characters.  ``length`` at most CAP; ``hot``: the occurrences from which an anchor is split; ``memory``: entries that
+    a shard's sort holds; the rest of a larger shard is in files of the task's scratch folder.
     """
     if not gram <= length <= CAP or gram < 8:
         raise ValueError("8 <= gram <= length <= CAP is needed")
