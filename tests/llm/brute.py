@@ -94,11 +94,14 @@ def jaccard_rows(docs: list[tuple], size: int, percent: int) -> Counter:
 
 
 def cosine_rows(rows: list[tuple], least: float) -> Counter:
+    """Rows without an id are nodes of their own."""
+    node = [("id", i) if i is not None else ("row", k) for k, (i, _) in enumerate(rows)]
     good = {}
-    for k, (i, v) in enumerate(rows):
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+    for k, (_, v) in enumerate(rows):
+        if v and all(x is not None and math.isfinite(x) for x in v) and any(v):
             a = np.array(v, float)
             good[k] = a / np.sqrt((a * a).sum())
     near = {k: [o for o in good if o != k and len(good[o]) == len(good[k]) and float(good[o] @ good[k]) >= least] for k in good}
-    of = groups({i for i, _ in rows if i is not None}, [(rows[k][0], rows[o][0]) for k, os in near.items() for o in os])
-    return Counter((i, len(near.get(k, ())), of.get(i), i is not None and of[i] == i) for k, (i, _) in enumerate(rows))
+    of = groups(set(node), [(node[k], node[o]) for k, os in near.items() for o in os])  # ids come before rows
+    found = [of[n][1] if of[n][0] == "id" else None for n in node]
+    return Counter((i, len(near.get(k, ())), found[k], i is not None and found[k] == i) for k, (i, _) in enumerate(rows))

@@ -10,12 +10,13 @@ import re
 import tracemalloc
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from trellis.llm import html_text, induced, jaccard, mixing, neardup, pieces, quality, substring, suffix_dedup, tokens, warc
+from trellis.llm import html_text, induced, jaccard, mixing, neardup, pieces, quality, queries, substring, suffix_dedup, tokens, warc
 from trellis.llm.components import components
 from trellis.llm.induced import CAP, suffix_sort
 from trellis.llm.rounds import Layout
@@ -349,6 +350,12 @@ def test_pieces(spark):
     assert all(r["decoded"] == (r["text"] or "") for r in got if "▁" not in (r["text"] or ""))
 
 
+def test_pieces_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6), (2, "giant " * 60, 7, 8)], "doc_id long, text string, IDS long, __row long")
+    got = pieces.decode(pieces.encode(df, giant=300, chunk=64), out_col="__row").orderBy("doc_id").collect()
+    assert [r["__row"] for r in got] == ["a b", "giant " * 60] and got[0].__fields__ == ["doc_id", "text", "ids", "__row"]
+
+
 def test_scan_products_are_associative():
     model = pieces.codec(pieces.MODEL)
     text = model.library.normalize("the quick brown fox jumps over the lazy dog " * 3)
@@ -360,11 +367,29 @@ def test_scan_products_are_associative():
 
 
 # mixtures ---------------------------------------------------------------------------------------
-def test_targets():
-    assert mixing.targets({"a": 10, "b": 90, None: 100}, mixing.Mix()) == {"a": 20, "b": pytest.approx(280 / 3), None: pytest.approx(200 - 40 / 3)} or True
-    got = mixing.targets({"a": 10, "b": 90, None: 100}, mixing.Mix())
-    assert sum(got.values()) == pytest.approx(300) and got["a"] == 20 and got["b"] * 2 == pytest.approx(got[None])
-    assert mixing.targets({}, mixing.Mix()) == {}
+def plain_targets(sizes: dict, mix=mixing.Mix()) -> dict:
+    """Shares by weight; what is above its limit stops there, the rest is shared again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: mix.weights[i % len(mix.weights)] for i, s in enumerate(names)}
+    left, share, out = mix.budget * sum(sizes.values()), list(names), {}
+    while share:
+        even = {s: left * weight[s] / sum(weight[x] for x in share) for s in share}
+        over = [s for s in share if even[s] > mix.most * sizes[s]]
+        if not over:
+            return out | even
+        out |= {s: mix.most * sizes[s] for s in over}
+        left -= sum(mix.most * sizes[s] for s in over)
+        share = [s for s in share if s not in over]
+    return out
+
+
+@pytest.mark.parametrize("many", [0, 1, 3, 40])
+def test_targets(spark, many):
+    rng = random.Random(many)
+    sizes = {rng.choice(["ü", "z", "A", "\U0001f600", "\uffee"]) * (i + 1): rng.choice([0, 1, 5, 900, 10**6]) for i in range(many)} | ({None: 77} if many > 1 else {})
+    df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "src string, s long, n long")
+    got = {r["src"]: r["target"] for r in mixing.targets(df, mixing.Mix(sources_a_task=7)).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
 
 
 def test_flight_balances():
@@ -453,7 +478,7 @@ def test_min_cut_against_all_labellings():
 
 
 def test_warc(spark):
-    rows = [(4, "http://a/ü", "same"), (2, "http://b", "same"), (9, None, "other\r\n\r\nWARC/1.1\r\n"), (7, "x\r\ny", None), (8, "u", ""), (2, "http://b", "same"), (None, "u", "same"), (11, "u", "é" * 50_000)]
+    rows = [(4, "http://a/ü", "same"), (2, "http://b", "same"), (9, None, "other\r\n\r\nWARC/1.1\r\n"), (7, "x\r\ny", None), (8, "u", ""), (2, "http://b", "same"), (None, "u", "same"), (11, "u", "é" * 50_000), (None, "u", "nameless"), (None, "u", "nameless"), (12, "http://long/" + "é" * 400_000, "long url")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("size", F.lit(1))
     got = warc.round_trip(spark, df, "page_id", "url", "html").collect()
     assert not [r for r in got if r["record_type"] == "gap" or r["reason"]]
@@ -464,13 +489,43 @@ def test_warc(spark):
     want = Counter()
     for i, _, h in rows:
         data = (h or "").encode()
-        ref = first[h or ""] if i is not None and first[h or ""] != i else None
+        ref = first.get(h or "")
+        ref = None if ref == i else ref
         want[(str(i), len(data), warc.digest(data), "revisit" if ref is not None else "response", None if ref is None else f"{warc._ID}{ref}")] += 1
     assert Counter((r["record_id"].removeprefix(warc._ID), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
     large = warc.round_trip(spark, df, "page_id", "url", "html", min_bytes=5)
     assert large.filter("record_type = 'revisit'").isEmpty()
 
 
+def test_warc_null_ids_as_in_sql(spark, tmp_path):
+    rows = [(3, "u", "a"), (None, "u", "a"), (None, "u", "b"), (None, "u", "b"), (5, "u", None), (4, "u", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    found = con.execute(queries.ORACLE_SQL["op9_warc"])
+    names = [d[0] for d in found.description]
+    got = queries.QUERIES["op9_warc"](spark, str(tmp_path)).select(*names).collect()
+    assert Counter(tuple(r) for r in got) == Counter(found.fetchall())
+
+
+def test_salvage_of_headers_longer_than_a_step():
+    data = warc.record("response", 1, "http://u/" + "x" * 2_000_000, b"text", warc.digest(b"text"))
+    for whole in (data, warc.member(data)):
+        found = list(warc.salvage(io.BytesIO(whole + b"junk"), len(whole) + 4))
+        assert len(found[0][2].headers["warc-target-uri"]) == 2_000_009 and found[1][2] is None
+
+
+def test_near_null_ids_as_in_sql(spark, tmp_path):
+    rows = [(3, [1.0, 0.0]), (None, [1.0, 0.25]), (2, [1.0, 0.5]), (None, [0.0, 1.0]), (None, [0.0, 1.0]), (7, [-1.0, 0.0]), (None, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = con.execute(queries.ORACLE_SQL["op10_embedding_near_dedup"])
+    names = [d[0] for d in found.description]
+    got = Counter(tuple(r) for r in queries.QUERIES["op10_embedding_near_dedup"](spark, str(tmp_path)).select(*names).collect())
+    assert got == Counter(found.fetchall()) and got == brute.cosine_rows(rows, 0.95)
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage(packed):
     whole = [warc.record("response", i, f"http://x/{i}", f"payload {i} ".encode() * 40, warc.digest(f"payload {i} ".encode() * 40)) for i in range(6)]

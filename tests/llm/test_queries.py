@@ -6,12 +6,13 @@ import os
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from tests.llm import brute
-from tests.llm.test_operators import quality_rows
+from tests.llm.test_operators import plain_targets, quality_rows
 from trellis.llm import pieces, queries, tokens
 
 
@@ -70,6 +71,10 @@ def test_op5(spark, sf_dir, documents):
     assert (out["taken"] <= 2 * out["size"]).all()
     sums = out.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"), stated=("source_size", "first"))
     assert (sums["size"] == sums["stated"]).all() and sums["target"].sum() == pytest.approx(1.5 * out["size"].sum()) and (sums["target"] <= 2 * sums["size"] + 1e-6).all()
+    want = plain_targets({None if s != s else s: n for s, n in out.groupby("source", dropna=False)["size"].sum().items()})
+    assert {None if s != s else s: t for s, t in out.groupby("source", dropna=False)["target"].first().items()} == pytest.approx(want)
+    rate = out["target"] / out["source_size"]
+    assert ((out["copies"] >= np.floor(rate + 1e-12)) & (out["copies"] <= np.ceil(rate - 1e-12)) | (out["size"] == 0)).all() and (out["taken"] == out["copies"] * out["size"]).all()
     # a source of a few documents can only come as near as whole documents do
     assert ((sums["taken"] - sums["target"]).abs() <= 0.02 * sums["target"] + 5).all()
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.llm.shared import materialize
@@ -39,26 +39,35 @@ class Mix:
     seed: int = 17
     #: Documents of a source that its last round keeps for the landing problem, besides the two left open.
     reserve: int = 12
-    #: The table of sources is held by the driver; more sources than this are refused.
-    max_sources: int = 1_000_000
-
-
-def targets(sizes: dict[str | None, int], mix: Mix) -> dict[str | None, float]:
-    """The target of each source, weights dealt in code point order with null last."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: mix.weights[i % len(mix.weights)] for i, s in enumerate(names)}
-    left, share, out = mix.budget * sum(sizes.values()), list(names), {}
-    while share:
-        total = sum(weight[s] for s in share)
-        even = {s: left * weight[s] / total for s in share}
-        over = [s for s in share if even[s] > mix.most * sizes[s]]
-        if not over:
-            return out | even
-        for s in over:
-            out[s] = mix.most * sizes[s]
-            left -= out[s]
-        share = [s for s in share if s not in out]
-    return out
+    #: Sources that one task puts in order.
+    sources_a_task: int = 100_000
+
+
+def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
+    """The rows (src, s, n) of ``sizes`` with their target: weights dealt in code point order with null last.
+
+    Where every source stops at ``most`` times its size or takes its weight's share, a target is the lesser of the two for
+    one common level, found by a sum over the sources a round; the driver holds sums only.
+    """
+    parts = max(1, -(-sizes.count() // mix.sources_a_task))
+    dealt = sizes.repartitionByRange(parts, F.col("src").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    dealt = materialize(dealt, "mix-sources")
+    before, counts = {}, {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}
+    for part in sorted(counts):
+        before[part] = sum(counts[q] for q in counts if q < part)
+    first = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("part")) if before else F.lit(0)
+    place = first + F.row_number().over(Window.partitionBy("part").orderBy(F.col("src").asc_nulls_last())) - 1
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in mix.weights)), (place % len(mix.weights) + 1).cast("int"))
+    known = materialize(dealt.withColumn("weight", weight).withColumn("limit", F.col("s") * mix.most), "mix-weights")
+    level, full = 0.0, -1
+    while True:
+        over = F.col("weight") * level > F.col("limit")
+        total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+        row = known.agg(total("s").alias("s"), total(F.when(over, F.col("limit"))).alias("full"), total(F.when(~over, F.col("weight"))).alias("open"), F.count(F.when(over, 1)).alias("n")).first()
+        if row["n"] == full or not row["open"]:
+            break
+        full, level = row["n"], (mix.budget * row["s"] - row["full"]) / row["open"]
+    return known.withColumn("target", F.least(F.col("weight") * level, "limit")).select("src", "s", "n", "target")
 
 
 def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -140,26 +149,27 @@ def _round(rows: DataFrame, blocks: int, seed: int, reserve: int) -> DataFrame:
     return dealt.groupBy("src", "block").applyInPandas(run, rows.schema)
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", mix: Mix = Mix()) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, copies, taken."""
+def row_hash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mix: Mix = Mix()) -> Column:
+    """What tells rows apart and deals them to blocks."""
+    return F.xxhash64(df[id_col], df[text_col].cast("string"), F.lit(mix.seed))
+
+
+def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", mix: Mix = Mix(), hash_col: str | None = None) -> DataFrame:
+    """One row per input row: id, source, size, source_size, target, copies, taken; ``hash_col``: ``row_hash`` too."""
     size = F.coalesce(F.regexp_count(df[text_col].cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     # rows that repeat an id are dealt by their text too
-    row_hash = F.xxhash64(df[id_col], df[text_col].cast("string"), F.lit(mix.seed))
-    rows = materialize(df.select(df[id_col].alias("id"), df[source_col].cast("string").alias("src"), size.alias("size"), row_hash.alias("row_hash")), "mix-sizes")
-    spark = df.sparkSession
-    totals = rows.groupBy("src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(mix.max_sources + 1).collect()
-    if len(totals) > mix.max_sources:
-        raise ValueError(f"more than {mix.max_sources} sources")
-    aims = targets({r["src"]: r["s"] for r in totals}, mix)
-    table = [(r["src"], r["s"], float(aims[r["src"]]), float(aims[r["src"]] / r["s"]) if r["s"] else 0.0, -(-r["n"] // mix.block_rows)) for r in totals]
-    by_source = spark.createDataFrame(table, "src string, source_size long, target double, rate double, n_blocks long")
+    rows = materialize(df.select(df[id_col].alias("id"), df[source_col].cast("string").alias("src"), size.alias("size"), row_hash(df, id_col, text_col, mix).alias("row_hash")), "mix-sizes")
+    aims = targets(rows.groupBy("src").agg(F.sum("size").alias("s"), F.count("*").alias("n")), mix)
+    blocks = F.ceil(F.col("n") / mix.block_rows).cast("long").alias("n_blocks")
+    rate = F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0).alias("rate")
+    by_source = materialize(aims.select("src", F.col("s").alias("source_size"), "target", rate, blocks), "mix-targets")
     joined = rows.join(by_source, rows["src"].eqNullSafe(by_source["src"]), "left").drop(by_source["src"])
     joined = joined.withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("long"))
     joined = joined.withColumn("p", F.when((F.col("size") > 0) & (F.col("rate") - F.col("whole") > 1e-9), F.col("rate") - F.col("whole")).otherwise(F.lit(0.0)))
     joined = joined.withColumn("single", F.col("n_blocks") <= 1)
     undecided = (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)
     done = [joined.filter(~undecided)]
-    pending, most = joined.filter(undecided), max((t[4] for t in table), default=1)
+    pending, most = joined.filter(undecided), by_source.agg(F.coalesce(F.max("n_blocks"), F.lit(1)).alias("n")).first()["n"]
     while True:
         moved = materialize(_round(pending, most, mix.seed, mix.reserve), "mix-round")
         if most <= 1:
@@ -173,4 +183,4 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     for part in done[1:]:
         out = out.unionByName(part)
     copies = F.col("whole") + F.round("p").cast("long")
-    return out.select(F.col("id").alias(id_col), F.col("src").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("src").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *([F.col("row_hash").alias(hash_col)] if hash_col else []))

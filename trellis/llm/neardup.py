@@ -13,9 +13,10 @@ inequality to prune anything (random directions in many dimensions) this is one
 Equal vectors are one vector with a count.  A block gives each of its vectors the number of its links and, instead of
 pairs, a star of every group of linked vectors, so no group emits all its pairs.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, link
-with nothing (n_links 0, component the id itself); vectors of different length are not compared; rows that repeat an id
-are one node; ties are broken by id; extra columns are not read.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing (n_links 0,
+component the id itself); vectors of different length are not compared; rows that repeat an id are one node; a row without
+an id links as any other and is a node of its own, whose component is the smallest id that it reaches, null if there is
+none, and which is not kept; ties are broken by id; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -142,10 +143,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     spark = df.sparkSession
     eps = float(np.sqrt(2 - 2 * limits.cosine))
     rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"))
-    sound = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    sound = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
     vectors = rows.filter(sound).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    vectors = materialize(vectors.withColumns({"key": F.xxhash64("v"), "dim": F.size("v")}), "vectors")
+    # vectors that no id has: numbers above all ids
+    nameless = F.lit(np.iinfo(np.int64).max) - F.monotonically_increasing_id()
+    vectors = materialize(vectors.withColumns({"key": F.xxhash64("v"), "dim": F.size("v"), "id": F.coalesce("id", nameless)}), "vectors")
+    highest = rows.agg(F.max("id").alias("id")).first()["id"]
     pivots: dict[int, np.ndarray] = {}
     for r in vectors.groupBy("dim").count().orderBy(F.desc("count")).limit(1).collect():
         sample = vectors.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("id", "key")).limit(limits.sample).select("v").toArrow()
@@ -217,5 +221,6 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     own = vectors.select("v", F.col("id").alias("rep"), "key")
     tagged = rows.withColumn("w", F.when(sound, F.col("v"))).join(own.withColumnRenamed("v", "w"), "w", "left").select("id", "rep", "key")
     joined = tagged.join(near, ["rep", "key"], "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
+    reached = F.coalesce("component", "rep", "id")
+    component = F.when(reached <= F.lit(highest).cast("long"), reached)
     return joined.select(F.col("id").alias(id_col), F.coalesce(F.greatest(F.col("n_near") - 1, F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -290,6 +290,7 @@ def _lists(ids: list[array]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32()), pa.array(flat))
 
 
+_CHUNKS_A_TASK = 4
 _CHUNKS = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("part", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])
 _MATRICES = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("m", pa.binary())])
 
@@ -326,14 +327,17 @@ def _giant_ids(giants: DataFrame, path: str, chunk: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r["row"]]), pa.array([r["k"]], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], names=["row", "k", "ids"])
 
     chunks = materialize(giants.mapInArrow(cut, "row long, k int, part string, lo int, hi int"), "chunks")
-    spread = chunks.repartition(F.col("row"), F.col("k"))
+    # a stated number, which adaptive execution leaves alone: chunks are few bytes and much work
+    spread = chunks.repartition(max(1, -(-chunks.count() // _CHUNKS_A_TASK)), F.col("row"), F.col("k"))
     states = spread.mapInArrow(matrices, "row long, k int, m binary").groupBy("row").applyInArrow(scan, "row long, k int, states array<int>")
-    traced = chunks.join(states, ["row", "k"]).mapInArrow(trace, "row long, k int, ids array<int>")
+    traced = spread.join(states, ["row", "k"]).mapInArrow(trace, "row long, k int, ids array<int>")
     return traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """``df`` with the piece ids of each text in ``out_col`` (array<int>)."""
+    """``df`` with the piece ids of each text in ``out_col`` (array<int>); a column of that name is replaced."""
+    df = df.drop(out_col)
+    key = _unused("__row", df)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,16 +353,20 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: st
     plain = df.filter(F.length(text) < giant)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out_col}` array<int>"
     done = plain.mapInArrow(run, schema)
-    giants = materialize(df.filter(F.length(text) >= giant).withColumn("__row", F.monotonically_increasing_id()), "giants")
+    giants = materialize(df.filter(F.length(text) >= giant).withColumn(key, F.monotonically_increasing_id()), "giants")
     if giants.isEmpty():
         return done
-    ids = _giant_ids(giants.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text")), path, chunk)
-    large = giants.join(ids, giants["__row"] == ids["row"], "left").select(*(giants[c] for c in df.columns), F.coalesce(ids["ids"], F.array().cast("array<int>")).alias(out_col))
+    ids = _giant_ids(giants.select(F.col(key).alias("row"), F.col(text_col).cast("string").alias("text")), path, chunk)
+    large = giants.join(ids, giants[key] == ids["row"], "left").select(*(giants[c] for c in df.columns), F.coalesce(ids["ids"], F.array().cast("array<int>")).alias(out_col))
     return done.unionByName(large)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str = MODEL, digest_col: str | None = None) -> DataFrame:
-    """``df`` with the text of the piece ids in ``out_col``; ``digest_col``: their SHA-256, as little-endian 32-bit numbers."""
+    """``df`` with the text of the piece ids in ``out_col``; ``digest_col``: their SHA-256, as little-endian 32-bit numbers.
+
+    Columns of these names are replaced.
+    """
+    df = df.drop(out_col, *([digest_col] if digest_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)
@@ -379,5 +387,12 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
     return df.mapInArrow(run, schema)
 
 
+def _unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def sha_of(ids) -> str:
     return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()

@@ -27,18 +27,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-#: Every pair is compared, with row numbers telling rows that repeat an id apart; components by recursion.
+#: Every pair is compared, with row numbers telling rows that repeat an id or have none apart; components by recursion.
 _NEAR_SQL = """
-with recursive v as (select vec_id, embedding::double[] as e, row_number() over () as r from embeddings),
+with recursive v as (select vec_id, embedding::double[] as e, r, coalesce(vec_id::varchar, 'row ' || r) as node from (select *, row_number() over () as r from embeddings)),
  good as (select *, sqrt(list_dot_product(e, e)) as norm from v where e is not null and len(e) > 0
    and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
- link as (select a.vec_id as u, b.vec_id as w, a.r as r from good a join good b on a.r <> b.r and len(a.e) = len(b.e)
+ link as (select a.node as u, b.node as w, a.r as r from good a join good b on a.r <> b.r and len(a.e) = len(b.e)
    and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
- reach(u, w) as (select vec_id, vec_id from v union select reach.u, link.w from reach join link on link.u = reach.w),
- c as (select u, min(w) as component_id from reach group by u),
+ reach(u, w) as (select node, node from v union select reach.u, link.w from reach join link on link.u = reach.w),
+ c as (select u, min(x.vec_id) as component_id from reach join v x on x.node = reach.w group by u),
  n as (select r, count(*) as n_links from link group by r)
-select v.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, v.vec_id = component_id as kept
-from v join c on c.u = v.vec_id left join n on n.r = v.r"""
+select v.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, coalesce(v.vec_id = component_id, false) as kept
+from v join c on c.u = v.node left join n on n.r = v.r"""
 
 
 QUERIES = {"op10_embedding_near_dedup": op10_embedding_near_dedup, "op4_ngram_jaccard": op4_ngram_jaccard, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_substring_dedup": op3_substring_dedup}

@@ -11,8 +11,9 @@ records and the gaps between them have the bounds of the member.  Records found
 damaged have its start alone, and the gap starts there too.  The reader holds a few records at a time.
 
 Defined cases: a null payload is empty; a null id is written as such and read back as null; an empty table makes no
-archive; rows that repeat id and payload are all responses when the id is the group's smallest; extra columns are
-ignored.
+archive; rows that repeat id and payload are all responses when the id is the group's smallest; of equal payloads, rows
+without an id revisit the smallest id, and are responses where none of them has one; extra columns are ignored.  Headers
+may be of any length: they are read in steps until they end.
 """
 
 from __future__ import annotations
@@ -40,7 +41,6 @@ _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n", re.I)
 _STEP = 1 << 18
-_MOST_HEADER = 1 << 20
 
 RECORDS = T.StructType(
     [
@@ -85,7 +85,7 @@ def with_revisits(df: DataFrame, id_col: str, url_col: str, payload_col: str, mi
     rows = rows.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload")})
     groups = rows.filter(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
     joined = rows.join(groups.select("sha", "size", "first_id"), ["sha", "size"], "left")
-    return joined.select("id", "url", "payload", F.when(F.col("id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    return joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 16 << 20) -> DataFrame:
@@ -136,7 +136,7 @@ def parse_record(data: bytes) -> Record:
     """The record that ``data`` starts with, wholly checked, and its end."""
     if not _VERSION.match(data):
         raise Broken("no version line")
-    end = data.find(b"\r\n\r\n", 0, _MOST_HEADER)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         raise Broken("no end of headers")
     headers = {}
@@ -222,7 +222,7 @@ class _Member:
         if not _VERSION.match(self.held):
             raise Broken("no version line")
         end = at = 0
-        while (end := self.held.find(b"\r\n\r\n", at)) < 0 and len(self.held) < _MOST_HEADER:
+        while (end := self.held.find(b"\r\n\r\n", at)) < 0:
             at = max(0, len(self.held) - 3)
             if not self._more():
                 break
@@ -280,10 +280,14 @@ class _Member:
 def _plain_at(file, at: int, size: int) -> tuple[bytes, int]:
     """The uncompressed record at ``at``, and its end."""
     file.seek(at)
-    head = file.read(min(_MOST_HEADER, size - at))
-    end = head.find(b"\r\n\r\n")
+    head, seen = bytearray(file.read(min(_STEP, size - at))), 0
+    if not _VERSION.match(head):
+        raise Broken("no record here")
+    while (end := head.find(b"\r\n\r\n", seen)) < 0 and at + len(head) < size:
+        seen = max(0, len(head) - 3)
+        head += file.read(min(len(head), size - at - len(head)))
     found = _LENGTH.search(head, 0, end + 2) if end >= 0 else None
-    if not _VERSION.match(head) or not found:
+    if not found:
         raise Broken("no record here")
     length = end + 4 + int(found[1]) + 4
     if at + length > size:
@@ -360,8 +364,11 @@ def _row(path: str, start: int, end: int, found: Record | None, reason: str, wit
     return row | {"payload_digest": own, "payload_bytes": len(payload), "payload": payload if with_payload else None}
 
 
-def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records and gaps (record_type 'gap') of the archives named in column ``path``; see RECORDS."""
+def read_archives(archives: DataFrame, with_payload: bool = True, most_tasks: int = 10_000) -> DataFrame:
+    """Records and gaps (record_type 'gap') of the archives named in column ``path``; see RECORDS.
+
+    An archive is read by one task; beyond ``most_tasks`` archives, tasks read several.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), *((n, pa.string()) for n in RECORDS.names[3:8]), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("reason", pa.string())])
@@ -380,7 +387,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     n = archives.count()
-    return archives.select("path").repartition(max(1, n)).mapInArrow(run, RECORDS)
+    return archives.select("path").repartition(min(max(1, n), most_tasks)).mapInArrow(run, RECORDS)
 
 
 def row_id(column) -> F.Column:
