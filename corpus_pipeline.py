@@ -36,13 +36,14 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it (0, 1 or 2 times)."""
-    mixed = mixing.mix_sources(docs)
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(mixing.WORD)).cast("long"), F.lit(0).cast("long"))
-    # rows that repeat an id are told apart by their order
-    turn = F.row_number().over(Window.partitionBy("id").orderBy("src", "n"))
-    left = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("src"), size.alias("n")).withColumn("turn", turn)
-    right = mixed.select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.col("size").alias("n"), "copies").withColumn("turn", turn)
-    joined = left.join(right, left["id"].eqNullSafe(right["id"]) & (left["turn"] == right["turn"])).filter("copies > 0")
+    key = ("hash", "src")
+    # rows that are equal in id, text and source are told apart by a number
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("n"))
+    left = docs.select(F.struct(*docs.columns).alias("row"), mixing.row_hash(docs).alias("hash"), F.col("source").alias("src"), F.lit(0).alias("n")).withColumn("turn", turn)
+    mixed = mixing.mix_sources(docs, hash_col="hash")
+    right = mixed.select("hash", F.col("source").alias("src"), F.col("copies").alias("n"), "copies").withColumn("turn", turn)
+    same = (left["hash"] == right["hash"]) & left["src"].eqNullSafe(right["src"]) & (left["turn"] == right["turn"])
+    joined = left.join(right, same).filter("copies > 0")
     return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
