@@ -32,7 +32,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.shared import materialize
+from trellis.llm.shared import give_back, materialize
 from trellis.llm.words import flatten, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -349,6 +349,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: st
                 part = batch.slice(i, j - i)
                 ids = model.encode([t or "" for t in part.column(where).cast(pa.string()).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*part.schema.names, out_col])
+        give_back()
 
     plain = df.filter(F.length(text) < giant)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out_col}` array<int>"
@@ -382,6 +383,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
                 if digest_col:
                     more.append(pa.array([sha_of(ids) for ids in each]))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, out_col, *([digest_col] if digest_col else [])])
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out_col}` string" + (f", `{digest_col}` string" if digest_col else "")
     return df.mapInArrow(run, schema)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from trellis.llm.shared import give_back
 from trellis.llm.words import U64, Words, flatten, mix, repeated, slices
 
 _SLICE = 1 << 20
@@ -140,6 +141,7 @@ def repetition_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 m = _judged(batch.column("text"), rules)
                 arrays = [batch.column("id"), *(pa.array(m[f.name], pa.bool_() if f.name in ("base_failed", "kept") else pa.int64()) for f in fields)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *(f.name for f in fields)])
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -151,5 +153,6 @@ def keep_good(df: DataFrame, text_col: str = "text", rules: Rules = Rules()) ->
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(_judged(batch.column(text_col), rules)["kept"]))
+        give_back()
 
     return df.mapInArrow(run, df.schema)

@@ -12,7 +12,6 @@ same order, also after a lost executor.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from trellis.llm.shared import text_bytes, units
+from trellis.llm.shared import give_back, text_bytes, units
 
 #: Ids of documents without one: larger than any other.
 NO_ID = np.iinfo(np.int64).max
@@ -78,10 +77,8 @@ def answer(messages: DataFrame, bucket: Callable[[list[tuple[int, bytes]], int],
 
 
 def trimmed(table: pa.Table) -> pa.Table:
-    """``table``, after the worker gave back the memory that it no longer uses: workers live on into later stages."""
-    pa.default_memory_pool().release_unused()
-    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-        trim(0)
+    """``table``, after the worker gave back the memory that it no longer uses."""
+    give_back()
     return table
 
 
