@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.errors import UnsupportedFeature
 from trellis.functions.builtins import unified
 from trellis.functions.values import Value, short
 
@@ -104,6 +103,60 @@ def compatible(left: Solutions, right: Solutions, shared: list[str]) -> list[Col
     return out
 
 
+#: More than so many ways to be unbound are one join with the condition spelt out.
+_MOST_CASES = 16
+
+
+def _where(df: DataFrame, columns: list[Column], bound: frozenset[int]) -> DataFrame:
+    for i, c in enumerate(columns):
+        df = df.filter(c.isNotNull() if i in bound else c.isNull())
+    return df
+
+
+def _subsets(n: int) -> list[frozenset[int]]:
+    return [frozenset(i for i in range(n) if bits >> i & 1) for bits in range(1 << n)]
+
+
+def cases(left: Solutions, right: Solutions, other: DataFrame, shared: list[str]) -> list[tuple[DataFrame, list[tuple[DataFrame, list[Column]]]]]:
+    """The left solutions by which shared variables are bound, each with the right ones that may agree and equalities.
+
+    Every pair of compatible solutions is in one case, so that each case is an equi-join; ``other``: the renamed right side.
+    """
+    free = [n for n in shared if left.known[n].nullable]
+    open_ = [n for n in shared if right.known[n].nullable]
+    if len(free) + len(open_) > _MOST_CASES.bit_length() - 1:
+        return [(left.df, [(other, compatible(left, right, shared))])]
+    out = []
+    for bound in _subsets(len(free)):
+        unbound = {n for i, n in enumerate(free) if i not in bound}
+        need = [n for n in open_ if n not in unbound]
+        found = []
+        for there in _subsets(len(need)):
+            missing = unbound | {n for i, n in enumerate(need) if i not in there}
+            found.append((_where(other, [right_col(n) for n in need], there), [left.col(n) == right_col(n) for n in shared if n not in missing]))
+        out.append((_where(left.df, [left.col(n) for n in free], bound), found))
+    return out
+
+
+def _on(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
+
+
+def _matching(parts, keep: bool, more: list[Column], need_equal: bool = False) -> DataFrame:
+    """The left solutions of ``cases`` with (without) a right one; each once."""
+    out = []
+    for df, found in parts:
+        for other, equal in found:
+            if need_equal and not equal:
+                continue
+            if keep:
+                out.append(df.join(other, _on(equal + more), "left_semi"))
+            df = df.join(other, _on(equal + more), "left_anti")
+        if not keep:
+            out.append(df)
+    return reduce(DataFrame.unionAll, out) if out else parts[0][0].limit(0)
+
+
 def shared_of(left: Solutions, right: Solutions) -> list[str]:
     return [n for n in left.known if n in right.known]
 
@@ -122,8 +175,12 @@ def join(left: Solutions, right: Solutions) -> Solutions:
     if not any(s.known[n].nullable for s in (left, right) for n in shared):
         return Solutions(left.df.join(right.df, [column_of(n) for n in shared]), known)
     other = _renamed(right, shared)
-    df = left.df.join(other.df, reduce(lambda a, b: a & b, compatible(left, right, shared)))
-    return Solutions(_merged(df, left, right, shared), known)
+    return Solutions(_joined(left, right, other, shared, []), known)
+
+
+def _joined(left: Solutions, right: Solutions, other: Solutions, shared: list[str], more: list[Column]) -> DataFrame:
+    parts = [df.join(there, _on(equal + more)) for df, found in cases(left, right, other.df, shared) for there, equal in found]
+    return reduce(DataFrame.unionAll, (_merged(df, left, right, shared) for df in parts))
 
 
 def _merged(df: DataFrame, left: Solutions, right: Solutions, shared: list[str]) -> DataFrame:
@@ -136,14 +193,15 @@ def left_join(left: Solutions, right: Solutions, condition=None) -> Solutions:
     shared = shared_of(left, right)
     left, right = _aligned(left, right, shared)
     other = _renamed(right, shared)
-    conditions = compatible(left, right, shared)
     known = left.known | {n: replace(right.known[n], nullable=True) for n in right.known if n not in shared}
     for n in shared:
         known[n] = _both(left.known[n], right.known[n], left.known[n].nullable)
-    if condition is not None:
-        conditions.append(condition(_Pair(left, right, other, shared)))
-    on = reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
-    return Solutions(_merged(left.df.join(other.df, on, "left"), left, right, shared), known)
+    more = [condition(_Pair(left, right, other, shared))] if condition is not None else []
+    parts = cases(left, right, other.df, shared)
+    if len(parts) == 1 and len(parts[0][1]) == 1:
+        return Solutions(_merged(left.df.join(other.df, _on(parts[0][1][0][1] + more), "left"), left, right, shared), known)
+    alone = _matching(parts, False, more).select(*(left.col(n) for n in left.known), *(F.lit(None).cast(right.df.schema[column_of(n)].dataType).alias(column_of(n)) for n in right.known if n not in shared))
+    return Solutions(_joined(left, right, other, shared, more).unionAll(alone), known)
 
 
 class _Pair(Solutions):
@@ -171,26 +229,21 @@ def filter_join(left: Solutions, right: Solutions, keep: bool, condition=None, n
     names = list(right.known) if condition is not None else shared
     narrow = right.select(names) if names else Solutions(right.df.select(F.lit(1).alias("right$one")).limit(1), {})
     other = _renamed(narrow, shared) if names else narrow
-    conditions = compatible(left, narrow, shared)
-    if need_shared:  # MINUS takes away only where some shared variable is bound on both sides
-        bound = [left.col(n).isNotNull() & right_col(n).isNotNull() for n in shared]
-        if all(left.known[n].nullable or right.known[n].nullable for n in shared):
-            conditions.append(reduce(lambda a, b: a | b, bound))
-    if condition is not None:
-        conditions.append(condition(_Pair(left, narrow, other, shared)))
-    on = reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
-    return Solutions(left.df.join(other.df, on, "left_semi" if keep else "left_anti"), left.known)
+    more = [condition(_Pair(left, narrow, other, shared))] if condition is not None else []
+    parts = cases(left, narrow, other.df, shared)
+    if need_shared and parts[0][0] is left.df and any(left.known[n].nullable or narrow.known[n].nullable for n in shared):
+        # MINUS takes away only where some shared variable is bound on both sides
+        more.append(reduce(lambda a, b: a | b, (left.col(n).isNotNull() & right_col(n).isNotNull() for n in shared)))
+    return Solutions(_matching(parts, keep, more, need_shared), left.known)
 
 
 def marked(left: Solutions, right: Solutions, mark: str) -> Solutions:
-    """``left`` with a boolean column that tells whether a compatible solution exists (EXISTS inside an expression)."""
+    """``left`` with a boolean column that tells whether a compatible solution exists; shared variables are bound."""
     shared = shared_of(left, right)
     left, right = _aligned(left, right, shared)
     if not shared:
         flag = right.df.limit(1).agg((F.count("*") > 0).alias(mark))
         return Solutions(left.df.crossJoin(F.broadcast(flag)), left.known)
-    if any(s.known[n].nullable for s in (left, right) for n in shared):
-        raise UnsupportedFeature("EXISTS inside an expression over variables that may be unbound")
     narrow = Solutions(right.select(shared).df.distinct(), {n: right.known[n] for n in shared})
     other = _renamed(narrow, shared)
     flagged = other.df.withColumn(mark, F.lit(True))
@@ -198,6 +251,25 @@ def marked(left: Solutions, right: Solutions, mark: str) -> Solutions:
     return Solutions(df.select(*(left.col(n) for n in left.known), F.coalesce(F.col(mark), F.lit(False)).alias(mark)), left.known)
 
 
+def _tag(left: Solutions, names: list[str]) -> Column:
+    """What tells solutions apart by some variables; unbound ones are equal to each other."""
+    return F.struct(*(left.col(n) for n in names), F.lit(1).alias("one"))
+
+
+def bindings(left: Solutions, names: list[str], tag: str) -> Solutions:
+    """The distinct bindings of some variables, each with its tag."""
+    df = left.df.select(*(left.col(n) for n in names)).distinct()
+    narrow = Solutions(df, {n: left.known[n] for n in names})
+    return Solutions(df.withColumn(tag, _tag(narrow, names)), narrow.known | {tag: Known()})
+
+
+def marked_by(left: Solutions, names: list[str], tag: str, found: Solutions, mark: str) -> Solutions:
+    """``left`` with a boolean column that tells whether the tag of its bindings is among those found."""
+    flagged = found.df.select(found.col(tag)).distinct().withColumn(mark, F.lit(True))
+    df = left.df.withColumn(tag, _tag(left, names)).join(flagged, tag, "left")
+    return Solutions(df.select(*(left.col(n) for n in left.known), F.coalesce(F.col(mark), F.lit(False)).alias(mark)), left.known)
+
+
 def union(parts: list[Solutions]) -> Solutions:
     """All solutions of all parts; types are widened, or become text where they differ."""
     names = list(dict.fromkeys(n for p in parts for n in p.known))

@@ -17,7 +17,7 @@ from trellis.operators import paths
 from trellis.operators.scans import scan, trailing_key
 from trellis.plans import bgp
 from trellis.plans.expressions import Compiler, aggregates_in, typed
-from trellis.plans.scope import Known, Solutions, column_of, empty, filter_join, join, left_join, marked, unit, union
+from trellis.plans.scope import Known, Solutions, bindings, column_of, empty, filter_join, join, left_join, marked, marked_by, unit, union
 from trellis.sources.service import Services
 from trellis.sparql import ast as A
 from trellis.sparql.parser import AGGREGATES
@@ -28,6 +28,7 @@ class Translator:
         self.ctx, self.registry, self.services, self.correlated = ctx, registry, services, correlated_subselect
         self.spark = ctx.catalog.spark
         self.marks = 0
+        self.given: Solutions | None = None  # bindings from outside of the EXISTS at hand
         self.prefixes = prefixes or {}
 
     def aggregates(self, e) -> list[A.Call]:
@@ -38,10 +39,41 @@ class Translator:
     def group(self, group: A.Group, outer: frozenset[str] = frozenset()) -> Solutions:
         """The solutions of a group; its filters hold for the whole of it."""
         solutions, filters = self._pattern(group, outer)
+        solutions = self._told(solutions, filters)
         for e in filters:
             solutions = self.filtered(solutions, e)
         return solutions
 
+    def _told(self, solutions: Solutions, expressions: list, near: Solutions | None = None) -> Solutions:
+        """Solutions with the bindings from outside of an EXISTS, if expressions need them."""
+        have = solutions.known.keys() | (near.known.keys() if near else set())
+        if self.given is not None and any((A.mentioned(e) - have) & self.given.known.keys() for e in expressions):
+            return join(solutions, self.given)
+        return solutions
+
+    def _marked(self, solutions: Solutions, group: A.Group, mark: str) -> Solutions:
+        """Solutions with a column that tells whether a group has a solution for each."""
+        known = solutions.known
+        names = [n for n in known if n in A.mentioned(group)]
+        if not A.loose(group) & known.keys():
+            right = self.group(group, frozenset(known))
+            if not any(x.known[n].nullable for x in (solutions, right) for n in right.known if n in known):
+                return marked(solutions, right, mark)
+        if not names:
+            return marked(solutions, self.group(group, frozenset(known)), mark)
+        self.marks += 1
+        tag, before = f"outer${self.marks}", self.given
+        self.given = bindings(solutions, names, tag)
+        try:
+            inner, filters = self._pattern(group, frozenset(known))
+            if tag not in inner.known:
+                inner = join(inner, self.given)
+            for e in filters:
+                inner = self.filtered(inner, e)
+        finally:
+            self.given = before
+        return marked_by(solutions, names, tag, inner, mark)
+
     def _pattern(self, group: A.Group, outer: frozenset[str] = frozenset()) -> tuple[Solutions, list]:
         """A group's solutions before its filters, and the filters."""
         solutions, pending, filters = unit(self.spark), [], []
@@ -65,6 +97,7 @@ class Translator:
             elif isinstance(element, A.Minus):
                 solutions = filter_join(solutions, self.group(element.group), keep=False, need_shared=True)
             elif isinstance(element, A.Bind):
+                solutions = self._told(solutions, [element.expression])
                 compiler = self.compiler(solutions)
                 value = typed(compiler.value(element.expression), solutions)
                 solutions = compiler.scope.with_value(element.var.name, value)
@@ -115,6 +148,7 @@ class Translator:
 
     def _optional(self, solutions: Solutions, element: A.Optional) -> Solutions:
         right, filters = self._pattern(element.group, frozenset(solutions.known))
+        right = self._told(right, filters, solutions)
         inner = [e for e in filters if _plain(e) and A.mentioned(e) <= set(right.known)]
         for e in inner:
             right = self.filtered(right, e)
@@ -133,12 +167,16 @@ class Translator:
         if isinstance(e, A.Unary) and e.op == "!" and isinstance(e.arg, A.Exists):
             e = A.Exists(e.arg.group, not e.arg.negated)
         if isinstance(e, A.Exists):
-            right, filters = self._pattern(e.group, frozenset(solutions.known))
-            across = [f for f in filters if _plain(f) and not A.mentioned(f) <= set(right.known)]
-            for f in filters:
-                if f not in across:
-                    right = self.filtered(right, f)
-            return filter_join(solutions, right, not e.negated, self._conditions(across) if across else None)
+            # plain filters on top of the group become conditions of the join; what is deeper needs the bindings inside
+            deep = A.Group(tuple(x for x in e.group.elements if not (isinstance(x, A.Filter) and _plain(x.condition))))
+            if not A.loose(deep) & solutions.known.keys():
+                right, filters = self._pattern(e.group, frozenset(solutions.known))
+                right = self._told(right, filters, solutions)
+                across = [f for f in filters if _plain(f) and not A.mentioned(f) <= set(right.known)]
+                for f in filters:
+                    if f not in across:
+                        right = self.filtered(right, f)
+                return filter_join(solutions, right, not e.negated, self._conditions(across) if across else None)
         compiler = self.compiler(solutions)
         condition = compiler.condition(e)
         return Solutions(compiler.scope.df.filter(condition), solutions.known).select(list(solutions.known)) if compiler.scope.df is not solutions.df else Solutions(solutions.df.filter(condition), solutions.known)
@@ -151,11 +189,9 @@ class Translator:
             self.marks += 1
             mark = f"mark${self.marks}"
             known = out.scope.known
-            extra = [c for c in out.scope.df.columns if c.startswith("mark$")]
-            held = out.scope.df
-            flagged = marked(Solutions(held, known), self.group(e.group, frozenset(known)), mark)
-            if extra:
-                flagged = marked(Solutions(held, known | {c: Known() for c in extra}), self.group(e.group, frozenset(known)), mark)
+            columns = {column_of(n) for n in known}
+            helpers = {c: Known() for c in out.scope.df.columns if c not in columns}  # marks, keys of groups and of the order
+            flagged = self._marked(Solutions(out.scope.df, known | helpers), e.group, mark)
             out.scope = Solutions(flagged.df, known)
             return Value(~F.col(f"`{mark}`") if e.negated else F.col(f"`{mark}`"), "boolean")
 
@@ -233,6 +269,13 @@ class Translator:
     # queries ------------------------------------------------------------------
     def select(self, query: A.Query) -> tuple[DataFrame, dict[str, Known]]:
         """A SELECT's DataFrame (columns named by column_of) and what is known of its variables."""
+        before, self.given = self.given, None  # a subquery sees nothing from outside
+        try:
+            return self._select(query)
+        finally:
+            self.given = before
+
+    def _select(self, query: A.Query) -> tuple[DataFrame, dict[str, Known]]:
         solutions = self.group(query.where)
         if query.values is not None:
             solutions = join(solutions, self.values(query.values))

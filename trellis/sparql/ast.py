@@ -236,3 +236,39 @@ def mentioned(node) -> set[str]:
     if hasattr(node, "__dataclass_fields__"):
         return set().union(*(mentioned(getattr(node, f)) for f in node.__dataclass_fields__))
     return set()
+
+
+def bindable(node) -> set[str]:
+    """Variables that the patterns of a group may bind (not those that expressions only mention)."""
+    if isinstance(node, Var):
+        return {node.name}
+    if isinstance(node, (Filter, Minus, Exists)):
+        return set()
+    if isinstance(node, Bind):
+        return {node.var.name}
+    if isinstance(node, SubSelect):
+        return set(variables(node))
+    if isinstance(node, (tuple, list)):
+        return set().union(*map(bindable, node)) if node else set()
+    if hasattr(node, "__dataclass_fields__"):
+        return set().union(*(bindable(getattr(node, f)) for f in node.__dataclass_fields__))
+    return set()
+
+
+def loose(group: Group) -> set[str]:
+    """Variables that expressions inside a group mention and its patterns don't bind: they can only come from outside."""
+    bound, out = bindable(group), set()
+    for element in group.elements:
+        if isinstance(element, Filter):
+            out |= mentioned(element.condition) - bound
+        elif isinstance(element, Bind):
+            out |= mentioned(element.expression) - bound
+        elif isinstance(element, Optional):
+            out |= loose(element.group) - bound
+        elif isinstance(element, Union):
+            out |= set().union(*map(loose, element.branches))
+        elif isinstance(element, Group):
+            out |= loose(element)
+        elif isinstance(element, (Minus, Graph)):
+            out |= loose(element.group)
+    return out
