@@ -22,10 +22,17 @@ def _engine(args: argparse.Namespace) -> Engine:
     if args.ontology:
         engine.load_ontology(Path(args.ontology).read_text(encoding="utf-8"))
     if args.data:
-        engine.register_parquet(args.data, sorted({r.table for r in engine.store.all_rules() if r.table not in engine.store.queries and Path(args.data, f"{r.table}.parquet").exists()}))
+        engine.register_parquet(args.data, _tables(spark, args.data))
     return engine
 
 
+def _tables(spark: SparkSession, folder: str) -> list[str]:
+    """The names of a folder's parquet tables, in any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="trellis", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)

@@ -5,14 +5,28 @@ from __future__ import annotations
 import json
 import threading
 import urllib.parse
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from pyspark.sql import DataFrame
+
 from trellis.engine import Engine
 from trellis.errors import TrellisError, status_of
 
 CORS = {"Access-Control-Allow-Origin": "*", "Access-Control-Allow-Methods": "GET, POST, OPTIONS", "Access-Control-Allow-Headers": "Content-Type, Accept, Authorization"}
 
 
+def _json_array(rows: DataFrame, size: int = 1000) -> Iterator[str]:
+    """All rows as a JSON array, a partition at a time on the driver."""
+    page, mark = [], "["
+    for row in rows.toLocalIterator(prefetchPartitions=True):
+        page.append(json.dumps(row.asDict(recursive=True), default=str))
+        if len(page) == size:
+            yield mark + ",\n".join(page)
+            page, mark = [], ",\n"
+    yield mark + ",\n".join(page) + "]" if page else ("[]" if mark == "[" else "]")
+
+
 class Gateway:
     """A threaded server around an engine; at most ``workers`` queries run at a time."""
 
@@ -55,10 +69,10 @@ class Gateway:
                 self.end_headers()
                 self.wfile.write(data)
 
-            def chunked(self, parts) -> None:
+            def chunked(self, parts, kind: str = "application/sparql-results+json") -> None:
                 first = next(parts)  # an error in planning still gets its own status
                 self.send_response(200)
-                for name, value in {**CORS, "Content-Type": "application/sparql-results+json", "Transfer-Encoding": "chunked"}.items():
+                for name, value in {**CORS, "Content-Type": kind, "Transfer-Encoding": "chunked"}.items():
                     self.send_header(name, value)
                 self.end_headers()
                 for part in (x for y in ([first], parts) for x in y):
@@ -110,8 +124,7 @@ class Gateway:
                 elif url.path == "/status":
                     self.reply(200, gateway.status() | engine.cache_stats())
                 elif url.path == "/sql" and gateway.allow_sql:
-                    rows = engine.spark.sql(self.text_of(url, body))
-                    self.reply(200, [r.asDict() for page in [rows.limit(10_000).collect()] for r in page])
+                    self.chunked(_json_array(engine.spark.sql(self.text_of(url, body))), "application/json")
                 else:
                     self.reply(404, {"error": "no such path"})
 

@@ -52,5 +52,14 @@ def daily_counts(engine: Engine, sf_dir: str) -> DataFrame:
     def partial(batch: DataFrame, number: int) -> None:
         batch.groupBy("day", "kind").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
+    spark.createDataFrame([], "day timestamp, kind string, n long").write.parquet(f"{base}/out/batch=-1")  # a stream without rows has an answer too
     days.writeStream.foreachBatch(partial).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("day", "kind").agg(F.sum("n").alias("n"))
+
+
+def hourly_counts(engine: Engine, sf_dir: str) -> DataFrame:
+    """Events by hour and type, as far as the watermark (ten minutes behind the latest event) has closed the hours."""
+    stream_parquet(engine, "events", sf_dir, "events.parquet")
+    solutions = engine.query("SELECT ?t ?kind WHERE { ?e v:eventTime ?t ; v:eventType ?kind }")
+    found = run_once(windowed_counts(solutions, "t", ["kind"], "1 hour", "10 minutes"), "hourly")
+    return found.select(F.col("w.start").alias("hour"), "kind", "n")

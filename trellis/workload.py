@@ -120,14 +120,24 @@ _add("optional_basic", "SELECT ?c ?o WHERE { ?c a v:Customer OPTIONAL { ?o v:pla
 _add("optional_filter", "SELECT ?c ?o WHERE { ?c v:acctBal ?b OPTIONAL { ?o v:placedBy ?c ; v:totalPrice ?t FILTER(?t > 100000 && ?b > 0) } }", "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000 AND c_acctbal > 0")
 _add("optional_nested", "SELECT ?n ?c ?o WHERE { ?n v:nationName ?x OPTIONAL { ?c v:custNation ?n ; v:segment 'BUILDING' OPTIONAL { ?o v:placedBy ?c ; v:orderStatus 'P' } } }", "SELECT n_nationkey AS n, c_custkey AS c, o_orderkey AS o FROM nation LEFT JOIN (customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P') ON c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING'")
 _add("optional_multi", "SELECT ?d ?q ?src WHERE { ?d v:lang 'en' OPTIONAL { ?l v:labelOf ?d ; v:quality ?q } OPTIONAL { ?d v:source ?src FILTER(?src = 'src1') } }", "SELECT d.doc_id AS d, quality AS q, CASE WHEN source = 'src1' THEN source END AS src FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE lang = 'en'")
-_add("optional_shared_unbound", "SELECT ?n ?c ?s WHERE { ?n v:nationName ?x OPTIONAL { ?c v:custNation ?n ; v:acctBal ?b FILTER(?b > 9900) } OPTIONAL { ?s v:suppNation ?n ; v:suppBal ?sb FILTER(?sb > 9000) } }", "SELECT n_nationkey AS n, c_custkey AS c, s_suppkey AS s FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9900 LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000")
+_add("optional_shared_unbound", "SELECT ?n ?s ?p WHERE { ?n v:nationName ?x OPTIONAL { ?s v:suppNation ?n ; v:suppBal ?b FILTER(?b > 9000) } OPTIONAL { ?s v:suppName ?p ; v:suppBal ?y FILTER(?y < 9500) } }", "SELECT n_nationkey AS n, coalesce(a.s_suppkey, b.s_suppkey) AS s, b.s_name AS p FROM nation LEFT JOIN supplier a ON a.s_nationkey = n_nationkey AND a.s_acctbal > 9000 LEFT JOIN supplier b ON (a.s_suppkey IS NULL OR a.s_suppkey = b.s_suppkey) AND b.s_acctbal < 9500")
+_add("join_shared_unbound", "SELECT ?n ?s ?p WHERE { { ?n v:nationName ?x OPTIONAL { ?s v:suppNation ?n ; v:suppBal ?b FILTER(?b > 9000) } } { ?s v:suppName ?p ; v:suppBal ?y FILTER(?y > 8000) } }", "SELECT n_nationkey AS n, b.s_suppkey AS s, b.s_name AS p FROM nation LEFT JOIN supplier a ON a.s_nationkey = n_nationkey AND a.s_acctbal > 9000 JOIN supplier b ON (a.s_suppkey IS NULL OR a.s_suppkey = b.s_suppkey) AND b.s_acctbal > 8000")
+_add("minus_unbound", "SELECT ?n ?s WHERE { ?n v:nationName ?x OPTIONAL { ?s v:suppNation ?n ; v:suppBal ?b FILTER(?b > 9000) } MINUS { ?s v:suppBal ?y FILTER(?y > 9400) } }", "SELECT n_nationkey AS n, a.s_suppkey AS s FROM nation LEFT JOIN supplier a ON a.s_nationkey = n_nationkey AND a.s_acctbal > 9000 WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_suppkey = a.s_suppkey AND b.s_acctbal > 9400)")
+_add("exists_shared_unbound", "SELECT ?n ?s WHERE { ?n v:nationName ?x OPTIONAL { ?s v:suppNation ?n ; v:suppBal ?b FILTER(?b > 9000) } FILTER EXISTS { ?s v:suppBal ?y FILTER(?y > 9400) } }", "SELECT n_nationkey AS n, a.s_suppkey AS s FROM nation LEFT JOIN supplier a ON a.s_nationkey = n_nationkey AND a.s_acctbal > 9000 WHERE EXISTS (SELECT 1 FROM supplier b WHERE (a.s_suppkey IS NULL OR b.s_suppkey = a.s_suppkey) AND b.s_acctbal > 9400)")
 _add("minus_basic", "SELECT ?c WHERE { ?c a v:Customer MINUS { ?o v:placedBy ?c ; v:orderStatus 'F' } }", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 _add("minus_filter", "SELECT ?p WHERE { ?p v:brand ?b MINUS { ?p v:size ?s FILTER(?s > 25) } }", "SELECT p_partkey AS p FROM part WHERE NOT p_size > 25")
 _add("minus_no_shared", "SELECT ?r WHERE { ?r v:regionName ?x MINUS { ?n v:nationName ?y } }", "SELECT r_regionkey AS r FROM region")
 _add("exists", "SELECT ?c ?n WHERE { ?c v:custName ?n FILTER EXISTS { ?o v:placedBy ?c ; v:totalPrice ?t FILTER(?t > 200000) } }", "SELECT c_custkey AS c, c_name AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-_add("not_exists", "SELECT ?p WHERE { ?p a v:Part FILTER NOT EXISTS { ?l v:ofPart ?p ; v:returnFlag 'R' } }", "SELECT p_partkey AS p FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+_add("not_exists", "SELECT ?p WHERE { ?p a v:Part FILTER NOT EXISTS { ?l v:ofPart ?p ; v:returnFlag 'R' ; v:quantity ?q FILTER(?q > 40) } }", "SELECT p_partkey AS p FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 40)")
 _add("exists_nested", "SELECT ?n WHERE { ?n v:nationName ?x FILTER EXISTS { ?c v:custNation ?n FILTER NOT EXISTS { ?o v:placedBy ?c ; v:orderStatus 'O' } } }", "SELECT n_nationkey AS n FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O'))")
 _add("exists_outer_filter", "SELECT ?c WHERE { ?c v:acctBal ?b FILTER EXISTS { ?o v:placedBy ?c ; v:totalPrice ?t FILTER(?t > ?b * 40) } }", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40)")
+_add("exists_outer_in_or", "SELECT ?c WHERE { ?c v:acctBal ?b FILTER(?b > 9500 || EXISTS { ?o v:placedBy ?c ; v:totalPrice ?t FILTER(?t > ?b * 40) }) }", "SELECT c_custkey AS c FROM customer WHERE c_acctbal > 9500 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40)")
+_add("exists_nested_outermost", "SELECT ?c WHERE { ?c v:acctBal ?b FILTER EXISTS { ?o v:placedBy ?c ; v:totalPrice ?t FILTER EXISTS { ?l v:ofOrder ?o ; v:extendedPrice ?x FILTER(?x * 2 > ?t && ?x > ?b) } } }", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_extendedprice * 2 > o_totalprice AND l_extendedprice > c_acctbal))")
+_add("exists_bind", "SELECT ?c ?e WHERE { ?c v:acctBal ?b BIND(EXISTS { ?o v:placedBy ?c ; v:totalPrice ?t FILTER(?t > ?b * 40) } AS ?e) }", "SELECT c_custkey AS c, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40) AS e FROM customer")
+_add("exists_bind_outer_only", "SELECT ?n ?e WHERE { ?n v:nationName ?x BIND(EXISTS { ?c v:custNation ?n FILTER(STRLEN(?x) > 6) } AS ?e) }", "SELECT n_nationkey AS n, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND length(n_name) > 6) AS e FROM nation")
+_add("exists_unbound", "SELECT ?n ?s WHERE { ?n v:nationName ?x OPTIONAL { ?s v:suppNation ?n ; v:suppBal ?b FILTER(?b > 9000) } FILTER(?x = 'NATION_1' || EXISTS { ?s v:suppBal ?y ; v:suppNation ?m FILTER(?y < 9500 && ?m >= ?n) }) }", "SELECT n_nationkey AS n, s.s_suppkey AS s FROM nation LEFT JOIN supplier s ON s_nationkey = n_nationkey AND s_acctbal > 9000 WHERE n_name = 'NATION_1' OR EXISTS (SELECT 1 FROM supplier z WHERE (s.s_suppkey IS NULL OR z.s_suppkey = s.s_suppkey) AND z.s_acctbal < 9500 AND z.s_nationkey >= n_nationkey)")
+_add("exists_union_outer", "SELECT ?c WHERE { ?c v:acctBal ?b FILTER EXISTS { { ?o v:placedBy ?c ; v:totalPrice ?t FILTER(?t > ?b * 45) } UNION { ?c v:segment ?g FILTER(?b < 500) } } }", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 45) OR (c_acctbal < 500 AND c_mktsegment IS NOT NULL)")
+_add("not_exists_outer_in_or", "SELECT ?c WHERE { ?c v:acctBal ?b FILTER(?b < 0 || NOT EXISTS { ?o v:placedBy ?c ; v:totalPrice ?t FILTER(?t > ?b * 30) }) }", "SELECT c_custkey AS c FROM customer WHERE c_acctbal < 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 30)")
 _add("exists_or_filter", "SELECT ?c WHERE { ?c v:acctBal ?b FILTER(?b > 9500 || EXISTS { ?o v:placedBy ?c ; v:priority '2-HIGH' ; v:orderStatus 'P' }) }", "SELECT c_custkey AS c FROM customer WHERE c_acctbal > 9500 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '2-HIGH' AND o_orderstatus = 'P')")
 
 # aggregates -----------------------------------------------------------------------
@@ -194,7 +204,14 @@ _add("path_turns", "SELECT ?a (COUNT(?b) AS ?n) WHERE { ?a v:nextTurn+ ?b } GROU
 
 # functions ------------------------------------------------------------------------
 _add("fn_string", "SELECT ?c (UCASE(?n) AS ?u) (LCASE(?n) AS ?l) (STRLEN(?n) AS ?k) (SUBSTR(?n, 1, 4) AS ?h) (SUBSTR(?n, 5) AS ?t) (CONCAT(?n, '-', STR(?c)) AS ?x) WHERE { ?c v:custName ?n }", "SELECT c_custkey AS c, upper(c_name) AS u, lower(c_name) AS l, length(c_name) AS k, substr(c_name, 1, 4) AS h, substr(c_name, 5) AS t, c_name || '-' || c_custkey AS x FROM customer")
-_add("fn_string_search", "SELECT ?p ?n WHERE { ?p v:partName ?n ; v:partType ?t FILTER(CONTAINS(?n, '1') && STRSTARTS(?t, 'S') || STRENDS(?n, '9') || REGEX(?t, 'brass', 'i')) }", "SELECT p_partkey AS p, p_name AS n FROM part WHERE (contains(p_name, '1') AND starts_with(p_type, 'S')) OR ends_with(p_name, '9') OR regexp_matches(p_type, '(?i)brass')")
+_add("fn_string_search", "SELECT ?p ?n WHERE { ?p v:partName ?n ; v:partType ?t FILTER(CONTAINS(?n, 'ed w') && STRSTARTS(?t, 'S') || STRENDS(?n, 'ring') || REGEX(?t, 'promo', 'i')) }", "SELECT p_partkey AS p, p_name AS n FROM part WHERE (contains(p_name, 'ed w') AND starts_with(p_type, 'S')) OR ends_with(p_name, 'ring') OR regexp_matches(p_type, '(?i)promo')")
+_add("fn_contains", "SELECT ?p (CONTAINS(?n, 'l ') AS ?a) (STRSTARTS(?n, 's') AS ?b) (STRENDS(?n, 't') AS ?c) (REGEX(?n, '^[a-m].* r') AS ?d) WHERE { ?p v:partName ?n }", "SELECT p_partkey AS p, contains(p_name, 'l ') AS a, starts_with(p_name, 's') AS b, ends_with(p_name, 't') AS c, regexp_matches(p_name, '^[a-m].* r') AS d FROM part")
+_add("fn_seconds", "SELECT ?e (xsd:double(SECONDS(?t)) AS ?s) (TIMEZONE(?t) AS ?z) WHERE { ?e v:eventTime ?t }", "SELECT event_id AS e, (date_part('microsecond', ts) / 1e6)::double AS s, 0::bigint AS z FROM events")
+_add("fn_cast_more", "SELECT ?p (xsd:double(xsd:decimal(?r)) AS ?a) (xsd:float(?s) AS ?b) (xsd:integer(STRDT(SUBSTR(?n, 7), xsd:integer)) AS ?c) (STRDT(SUBSTR(?n, 7), xsd:integer) + 1 AS ?d) WHERE { ?p v:retailPrice ?r ; v:size ?s ; v:brand ?n }", "SELECT p_partkey AS p, p_retailprice::decimal(38,18)::double AS a, p_size::float AS b, substr(p_brand, 7)::bigint AS c, substr(p_brand, 7)::bigint + 1 AS d FROM part")
+_add("fn_cast_dates", "SELECT ?o (xsd:date(?d) AS ?a) (xsd:dateTime(SUBSTR(STR(?d), 1, 10)) AS ?b) (xsd:date('nothing') AS ?c) WHERE { ?o v:orderDate ?d }", "SELECT o_orderkey AS o, o_orderdate::date AS a, date_trunc('day', o_orderdate) AS b, NULL::date AS c FROM orders")
+_add("fn_compare_functions", "SELECT ?p (EQ(?s, 5) AS ?a) (NEQ(?s, 5) AS ?b) (LT(?s, 5) AS ?c) (LTE(?s, 5) AS ?d) (GT(?s, 5) AS ?e) (GTE(?s, 5) AS ?f) WHERE { ?p v:size ?s }", "SELECT p_partkey AS p, p_size = 5 AS a, p_size <> 5 AS b, p_size < 5 AS c, p_size <= 5 AS d, p_size > 5 AS e, p_size >= 5 AS f FROM part")
+_add("having_no_group", "SELECT (COUNT(?c) AS ?n) WHERE { ?c v:acctBal ?b } HAVING (COUNT(?c) > 10)", "SELECT count(*) AS n FROM customer HAVING count(*) > 10")
+_add("from_named", f"SELECT ?g ?n FROM NAMED <{V}graph/geography> WHERE {{ GRAPH ?g {{ ?x v:regionName ?n }} }}", f"SELECT '{V}graph/geography' AS g, r_name AS n FROM region")
 _add("fn_strbefore_after", "SELECT ?o (STRBEFORE(?p, '-') AS ?a) (STRAFTER(?p, '-') AS ?b) (STRBEFORE(?p, '~') AS ?z) WHERE { ?o v:priority ?p }", "SELECT o_orderkey AS o, split_part(o_orderpriority, '-', 1) AS a, substr(o_orderpriority, instr(o_orderpriority, '-') + 1) AS b, '' AS z FROM orders")
 _add("fn_replace_regex", "SELECT ?p (REPLACE(?b, '[0-9]+', 'N') AS ?x) (REPLACE(?b, 'brand', 'B', 'i') AS ?y) WHERE { ?p v:brand ?b }", "SELECT p_partkey AS p, regexp_replace(p_brand, '[0-9]+', 'N', 'g') AS x, regexp_replace(p_brand, 'brand', 'B', 'gi') AS y FROM part")
 _add("fn_encode_uri", "SELECT ?b (ENCODE_FOR_URI(CONCAT(?b, ' a/b*')) AS ?x) WHERE { ?p v:brand ?b } GROUP BY ?b", "SELECT DISTINCT p_brand AS b, replace(p_brand, '#', '%23') || '%20a%2Fb%2A' AS x FROM part")
@@ -272,6 +289,9 @@ _add("geo_contains", "SELECT ?s WHERE { ?s v:asWKT ?g FILTER(geof:sfContains('PO
 _add("geo_intersects", "SELECT ?s WHERE { ?s v:asWKT ?g FILTER(geof:sfIntersects(?g, 'LINESTRING(0 0, 50 0)'^^geo:wktLiteral)) }", f"SELECT c_custkey AS s FROM {_SITE} WHERE y = 0 AND x <= 50")
 _add("geo_distance", "SELECT ?s ?d WHERE { ?s v:asWKT ?g BIND(geof:distance(?g, 'POINT(50 5)'^^geo:wktLiteral, uom:metre) AS ?d) FILTER(?d < 10) }", f"SELECT c_custkey AS s, sqrt((x - 50) * (x - 50) + (y - 5) * (y - 5)) AS d FROM {_SITE} WHERE (x - 50) * (x - 50) + (y - 5) * (y - 5) < 100")
 _add("geo_buffer", "SELECT ?s WHERE { ?s v:asWKT ?g FILTER(geof:sfWithin(?g, geof:buffer('POINT(30 2)'^^geo:wktLiteral, 4, uom:metre))) }", f"SELECT c_custkey AS s FROM {_SITE} WHERE (x - 30) * (x - 30) + (y - 2) * (y - 2) <= 16")
+_add("geo_point", "SELECT ?p (geof:distance(POINT(?s, ?s), 'POINT(0 0)'^^geo:wktLiteral) AS ?d) (geof:intersects(POINT(?s, 5), 'LINESTRING(0 5, 20 5)'^^geo:wktLiteral) AS ?i) (geof:sfEquals(POINT(?s, 7), 'POINT(9 7)'^^geo:wktLiteral) AS ?e) WHERE { ?p v:size ?s }", "SELECT p_partkey AS p, sqrt(2.0 * p_size * p_size) AS d, p_size BETWEEN 0 AND 20 AS i, p_size = 9 AS e FROM part")
+_add("geo_srid", "SELECT ?s WHERE { ?s v:asWKT ?g FILTER(geof:sfWithin(CONCAT('SRID=4326;', ?g), 'SRID=4326;POLYGON((10 -1, 20 -1, 20 40, 10 40, 10 -1))'^^geo:wktLiteral)) }", f"SELECT c_custkey AS s FROM {_SITE} WHERE x > 10 AND x < 20 AND y > -1 AND y < 40")
+_add("geo_lines_and_areas", "SELECT ?p (geof:sfCrosses(CONCAT('LINESTRING(0 0, ', STR(?s), ' 0)'), 'POLYGON((10 -5, 20 -5, 20 5, 10 5, 10 -5))'^^geo:wktLiteral) AS ?c) (geof:sfOverlaps(CONCAT('POLYGON((0 0, ', STR(?s), ' 0, ', STR(?s), ' 9, 0 9, 0 0))'), 'POLYGON((10 -5, 20 -5, 20 5, 10 5, 10 -5))'^^geo:wktLiteral) AS ?o) (geof:sfEquals(CONCAT('POLYGON((0 0, ', STR(?s), ' 0, ', STR(?s), ' 9, 0 9, 0 0))'), 'POLYGON((9 0, 9 9, 0 9, 0 0, 9 0))'^^geo:wktLiteral) AS ?e) WHERE { ?p v:size ?s FILTER(?s > 0) }", "SELECT p_partkey AS p, p_size > 10 AS c, p_size > 10 AS o, p_size = 9 AS e FROM part WHERE p_size > 0")
 _add("geo_disjoint_touches", "SELECT ?s (geof:sfDisjoint(?g, 'POLYGON((10 -1, 20 -1, 20 40, 10 40, 10 -1))'^^geo:wktLiteral) AS ?d) (geof:sfTouches(?g, 'POLYGON((10 -1, 20 -1, 20 40, 10 40, 10 -1))'^^geo:wktLiteral) AS ?t) WHERE { ?s v:asWKT ?g }", f"SELECT c_custkey AS s, NOT (x BETWEEN 10 AND 20 AND y BETWEEN -1 AND 40) AS d, x BETWEEN 10 AND 20 AND y BETWEEN -1 AND 40 AND (x IN (10, 20) OR y IN (-1, 40)) AS t FROM {_SITE}")
 
 # windows --------------------------------------------------------------------------------
@@ -281,6 +301,7 @@ _add("win_percent_rank", "SELECT ?c (PERCENT_RANK() OVER (PARTITION BY ?n ORDER
 
 # streams: a bounded run over the events table must give the batch answer ---------------------
 _add("stream_window_count", "", "SELECT time_bucket(INTERVAL 1 day, ts) AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL", run=windows.daily_counts)
+_add("stream_watermark", "", "SELECT time_bucket(INTERVAL 1 hour, ts) AS hour, event_type AS kind, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 10 minutes GROUP BY ALL", run=windows.hourly_counts)
 
 
 _engines: dict[tuple, Engine] = {}
