@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
 
@@ -447,6 +448,12 @@ LONG = "The council met on Tuesday, and it spoke about the bridge for hours. Nob
         f'<article class="post category-reviews"><h1>The old bridge</h1><p>{LONG}</p></article>',
         f'<div class="widget"><article><p>{LONG}</p></article></div><div class="sidebar"><p>{LONG.replace("bridge", "tower")}</p></div>',
         f'<aside><div role="main"><p>{LONG}</p></div></aside>',
+        f'<body class="layout with-sidebar"><div><p>{LONG}</p></div><div><p>{LONG}</p></div>',
+        f'<article class="post has-header no-sidebar"><p>{LONG}</p></article>',
+        f'<article class="reviews"><p>{LONG}</p><p>{LONG}</p></article>',
+        f'<form id="aspnet"><article><p>{LONG}</p></article></form>',
+        f'<div class="comments-open"><main><p>{LONG}</p></main></div>',
+        f'<main><div class="legal"><p>{LONG}</p></div></main>',
     ],
 )
 def test_html_words_do_not_drop_articles(page):
@@ -455,6 +462,46 @@ def test_html_words_do_not_drop_articles(page):
     assert html_text.main_text(page) == " ".join(re.sub("<[^>]*>", " ", wanted).split())
 
 
+def test_html_has_no_self_closing_form():
+    article = f"<article><p>{LONG}</p></article>"
+    assert html_text.main_text(f'<script src="a.js"/>var leak = 1;</script>{article}') == LONG
+    assert html_text.main_text(f'<div><nav/><a href="x">Leak</a></div>{article}<svg width="2"/><p>After. It goes on, and ends here.</p>').startswith(LONG)
+    assert "Leak" not in html_text.main_text(f'<div><nav/><a href="x">Leak</a></div>{article}')
+
+
+def test_cut_overrules_scores():
+    """Short blocks between paragraphs are content by their neighbours alone, also without an article element."""
+    costs, flips = html_text.Costs(), 0
+    for page, kept in (
+        (f"<div><p>{LONG}</p><p>Yes</p><p>{LONG}</p></div>", "Yes"),
+        (f"<article><h1>Bridge</h1><p>{LONG}</p><p><a href=x>See here</a></p><p>{LONG}</p></article><footer>Yes</footer>", "See here"),
+    ):
+        found = html_text.blocks(page)
+        scores = [html_text.score(b, costs, w) for b, w in zip(found, html_text.waived(found, costs))]
+        sides = html_text.label(found, costs)
+        flips += sum((x > 0) != y for x, y in zip(scores, sides))
+        assert kept in html_text.main_text(page) and sides == html_text.min_cut(len(found), [max(0, x) for x in scores], [max(0, -x) for x in scores], html_text.smooth_edges(found, costs))
+        assert not html_text.main_text(page).endswith("Yes")
+    assert flips >= 2
+
+
+def test_cut_by_parts_is_a_minimum_cut():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(1, 14)
+        scores = [rng.uniform(-3, 3) for _ in range(n)]
+        edges = [(a, b, rng.uniform(0, 1.5)) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.3]
+        cost = lambda s: sum(max(0, -x) if y else max(0, x) for x, y in zip(scores, s)) + sum(w for a, b, w in edges if s[a] != s[b])  # noqa: B023, E731
+        assert cost(html_text.cut_by_parts(scores, edges)) == pytest.approx(cost(html_text.min_cut(n, [max(0, x) for x in scores], [max(0, -x) for x in scores], edges)))
+
+
+@pytest.mark.parametrize("page", ["<b> </b>" * 130_000, "<div>" * 100_000 + "</section>" * 50_000, "<p>ab</p>" * 110_000, "<i>" * 200_000 + "<div>x</div>" * 40_000, "<b><div>" + "<i>" * 150_000 + "x</b>" * 100_000, '<a href="' * 100_000, "<ul><li>a" * 100_000])
+def test_html_pages_of_a_megabyte(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 15
+
+
 @pytest.mark.parametrize("aside", ["<div hidden><article><p>%s</p></article></div>", '<div class="share">%s</div>', '<section class="comments"><p>%s</p></section>', '<form id="f"><p>%s</p></form>', '<p aria-hidden="true">%s</p>', "<nav>%s</nav>", '<div id=cookie-notice><p>%s</div>', '<article class="comment"><p>%s</p></article>'])
 def test_html_asides_still_go(aside):
     page = f"<h1>The old bridge</h1>{aside % LONG.replace('bridge', 'tower')}"

@@ -6,8 +6,10 @@ sink (the cost of calling it content).  Smoothness edges join blocks that follow
 are in the DOM, and a block to the one before it under the same parent.  Maximum flow separates content from
 boilerplate: a short line between two paragraphs of the article stays, a link list beside it goes.
 
-Elements that are never content (nav, footer, ...) cost more than anything can outweigh, except that an article or main
-inside starts anew.  What a form holds, or an element whose class or id has a word of boilerplate, has a finite cost; it
+Every sign has a finite weight: an article or main speaks for a block about as much as a few lines of prose do, so a short
+or link-laden block of an article is decided by its neighbours through the cut.  Elements that are no content by their
+name (nav, footer, ...) cost more than text and neighbours can make up for, except that an article or main inside starts
+anew; hidden text is out.  What a form holds, or an element whose class or id has a word of boilerplate, has a finite cost; it
 is waived as far as such an element holds nearly all the text, as a wrapper does and a sidebar does not.
 
 Defined cases: a null or empty page, and one without content, give an empty text; unclosed and stray tags, cut pages and
@@ -20,7 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template iframe object svg math canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+FOREIGN_TAGS = frozenset("svg math".split())
 ASIDE_TAGS = frozenset("nav header footer aside menu dialog button select textarea option".split())
 FORM_TAGS = frozenset("form fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -51,6 +54,10 @@ _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++
 _ATTRIBUTE = re.compile(r"""([^\s/=>"']++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]*+)))?""")
 _NAMED = frozenset("class id role hidden aria-hidden".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_HEAD_END = re.compile(r"</head\b[^>]*>?|<body\b", re.I)
+#: What a block-level start tag closes: a paragraph, or the item before in a list or table.
+_PARAGRAPH = frozenset(["p"])
+_IMPLIED = {"li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "tr", "td", "th"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"p", "option"}}
 _END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in (*UNSEEN, "title", "textarea")}
 _SENTENCE = re.compile(r"[.!?。！？;:,](?:\s|$)")
 
@@ -63,15 +70,17 @@ class Costs:
     """Weights of the classifier and of the smoothness edges."""
 
     bias: float = -1.0
-    main: float = 6.0
+    main: float = 1.5
     likely: float = 1.5
-    aside: float = -60.0
+    aside: float = -14.0
+    hidden: float = -60.0
     aside_word: float = -9.0
     reader_word: float = -12.0
     #: The share of the text from which on, and the one where wholly, the cost of a word is waived.
     waive_from: float = 0.6
     waive_at: float = 0.9
     link: float = -4.0
+    link_inside: float = -1.5
     length: float = 0.9
     sentence: float = 1.2
     heading: float = 0.6
@@ -132,30 +141,42 @@ def _flags(tag: str, attributes: str, flags: int) -> int:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     found: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, flags, number of the element
+    # tag, flags, number of the element, where in the stack the nearest block-level element is
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+    open_at: dict[str, list[int]] = defaultdict(list)  # of each tag the places in the stack
     parts: list[tuple[str, bool]] = []
+    begun = False  # whether the parts hold more than white space
     place = (0, 0, "", 1)  # flags, parent, tag, depth where the block began
     number, lowest, last_depth, at, n = 0, 1, 1, 0, len(page)
 
     def flush() -> None:
-        nonlocal lowest, last_depth
-        raw = "".join(p for p, _ in parts)
-        text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-        if text:
-            flags, parent, tag, depth = place
-            lowest_here = min(lowest, depth)
-            linked = sum(len(p) for p, in_link in parts if in_link)
-            found.append(Block(text, flags, linked * len(text) // max(1, len(raw)), depth, last_depth + depth - 2 * lowest_here, parent, tag))
-            lowest = last_depth = depth
+        nonlocal lowest, last_depth, begun
+        if begun:
+            raw = "".join(p for p, _ in parts)
+            text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
+            if text:
+                flags, parent, tag, depth = place
+                lowest_here = min(lowest, depth)
+                linked = sum(len(p) for p, in_link in parts if in_link)
+                found.append(Block(text, flags, linked * len(text) // max(1, len(raw)), depth, last_depth + depth - 2 * lowest_here, parent, tag))
+                lowest = last_depth = depth
         parts.clear()
+        begun = False
 
     def add(text: str) -> None:
-        nonlocal place
-        if not any(not p.isspace() for p, _ in parts):
-            holder = next((s for s in reversed(stack) if s[0] not in INLINE), stack[0])
+        nonlocal place, begun
+        if not begun:
+            holder = stack[stack[-1][3]]
             place = (stack[-1][1] & ~LINK, holder[2], holder[0], len(stack))
+            begun = not text.isspace()
         parts.append((text, bool(stack[-1][1] & LINK)))
 
+    def cut(k: int) -> None:
+        """Close the elements from place k of the stack on."""
+        for tag, *_ in stack[k:]:
+            open_at[tag].pop()
+        del stack[k:]
+
     while at < n:
         hit = _TOKEN.search(page, at)
         if hit is None:
@@ -169,17 +190,11 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag not in INLINE:
-                        flush()
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+            k = open_at[tag][-1] if open_at.get(tag) else 0
+            if tag not in INLINE:
+                flush()
+            if k and (tag not in INLINE or k > stack[-1][3]):  # an inline end tag reaches no farther than its block
+                cut(k)
         elif tag in VOID:
             if tag == "br":
                 add(" ") if parts else None
@@ -188,38 +203,27 @@ def blocks(page: str) -> list[Block]:
         else:
             if tag not in INLINE:
                 flush()
-                _close_implied(stack, tag)
+                k = stack[-1][3]
+                if k and stack[k][0] in _IMPLIED.get(tag, _PARAGRAPH):
+                    cut(k)
             lowest = min(lowest, len(stack))
             if tag in _END:
-                if not attributes.endswith("/"):
+                if not (attributes.endswith("/") and tag in FOREIGN_TAGS):  # HTML itself has no self-closing form
                     end = _END[tag].search(page, at)
                     at = end.end() if end else n
                 continue
             if tag == "head":
-                end = re.compile(r"</head\b[^>]*>?|<body\b", re.I).search(page, at)
+                end = _HEAD_END.search(page, at)
                 at = end.start() if end else n
                 continue
-            if attributes.endswith("/") and tag not in INLINE:
-                continue
             number += 1
-            stack.append((tag, _flags(tag, attributes, stack[-1][1]), number))
+            open_at[tag].append(len(stack))
+            stack.append((tag, _flags(tag, attributes, stack[-1][1]), number, stack[-1][3] if tag in INLINE else len(stack)))
         lowest = min(lowest, len(stack))
     flush()
     return found
 
 
-def _close_implied(stack: list[tuple[str, int, int]], tag: str) -> None:
-    """Close what a block-level start tag ends: a paragraph, or the item before in a list or table."""
-    same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-    for k in range(len(stack) - 1, 0, -1):
-        name = stack[k][0]
-        if name == "p" or name in same:
-            del stack[k:]
-            return
-        if name not in INLINE:
-            return
-
-
 def waived(found: list[Block], costs: Costs) -> list[float]:
     """The share of the cost of words that is waived for each block.
 
@@ -242,10 +246,10 @@ def waived(found: list[Block], costs: Costs) -> list[float]:
 
 def score(block: Block, costs: Costs, waive: float = 0.0) -> float:
     """Log-odds that a block is content."""
-    if block.flags & (ASIDE_TAG | HIDDEN):
-        return costs.aside
+    if block.flags & HIDDEN:
+        return costs.hidden
     n = len(block.text)
-    out = costs.bias + costs.length * math.log1p(n / 20) + costs.link * block.link_chars / n
+    out = costs.bias + costs.length * math.log1p(n / 20) + (costs.link_inside if block.flags & MAIN else costs.link) * block.link_chars / n
     out += costs.sentence * min(3, len(_SENTENCE.findall(block.text))) / 3
     if block.flags & MAIN:
         out += costs.main
@@ -253,7 +257,9 @@ def score(block: Block, costs: Costs, waive: float = 0.0) -> float:
         out += costs.likely
     if block.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         out += costs.heading
-    if block.flags & READER:
+    if block.flags & ASIDE_TAG:
+        out += costs.aside
+    elif block.flags & READER:
         out += costs.reader_word * (1 - waive)
     elif block.flags & ASIDE:
         out += costs.aside_word * (1 - waive)
@@ -322,9 +328,7 @@ def min_cut(n: int, source: list[float], sink: list[float], edges: list[tuple[in
                 break
 
 
-def label(found: list[Block], costs: Costs) -> list[bool]:
-    """Which blocks are content."""
-    scores = [score(b, costs, w) for b, w in zip(found, waived(found, costs), strict=True)]
+def smooth_edges(found: list[Block], costs: Costs) -> list[tuple[int, int, float]]:
     edges, before = [], {}
     for i, b in enumerate(found):
         if i:
@@ -332,7 +336,53 @@ def label(found: list[Block], costs: Costs) -> list[bool]:
         if before.get(b.parent, i - 1) < i - 1:
             edges.append((before[b.parent], i, costs.sibling))
         before[b.parent] = i
-    return min_cut(len(found), [max(0.0, x) for x in scores], [max(0.0, -x) for x in scores], edges)
+    return edges
+
+
+def cut_by_parts(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Which nodes are on the source side of a minimum cut.
+
+    A node whose score outweighs all its edges has its side in any minimum cut; its edges then are terminal capacities of
+    its neighbours.  What remains open falls into parts, and maximum flow decides each.
+    """
+    n, scores = len(scores), list(scores)
+    beside: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for a, b, w in edges:
+        beside[a].append((b, w))
+        beside[b].append((a, w))
+    weight = [sum(w for _, w in x) for x in beside]
+    side: list[bool | None] = [None] * n
+    todo = list(range(n))
+    while todo:
+        i = todo.pop()
+        if side[i] is not None or -weight[i] < scores[i] <= weight[i]:
+            continue
+        side[i] = scores[i] > weight[i]
+        for j, w in beside[i]:
+            if side[j] is None:
+                scores[j] += w if side[i] else -w
+                weight[j] = max(0.0, weight[j] - w)
+                todo.append(j)
+    for first in range(n):
+        if side[first] is not None:
+            continue
+        part, at = [first], {first: 0}
+        for i in part:
+            for j, _ in beside[i]:
+                if side[j] is None and j not in at:
+                    at[j] = len(part)
+                    part.append(j)
+        inner = [(at[i], at[j], w) for i in part for j, w in beside[i] if j in at and i < j]
+        kept = min_cut(len(part), [max(0.0, scores[i]) for i in part], [max(0.0, -scores[i]) for i in part], inner)
+        for i, good in zip(part, kept, strict=True):
+            side[i] = good
+    return [bool(x) for x in side]
+
+
+def label(found: list[Block], costs: Costs) -> list[bool]:
+    """Which blocks are content."""
+    scores = [score(b, costs, w) for b, w in zip(found, waived(found, costs), strict=True)]
+    return cut_by_parts(scores, smooth_edges(found, costs))
 
 
 def main_text(page: str | None, costs: Costs = Costs()) -> str:
