@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trellis.llm.components import components
 from trellis.llm.shared import materialize
@@ -39,7 +40,7 @@ class Range:
     #: Vectors that the pivots are chosen from and costs are estimated on.
     sample: int = 4096
     most_pivots: int = 1024
-    block: int = 4096
+    block: int = 8192
     chunk: int = 2048
 
 
@@ -142,7 +143,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """One row per input row: id, n_links (other vectors at ``cosine`` or above), component_id, kept."""
     spark = df.sparkSession
     eps = float(np.sqrt(2 - 2 * limits.cosine))
-    rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"))
+    given = df.schema[vector_col].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)
+    kind = "array<float>" if single else "array<double>"  # floats travel as such and are compared as doubles
+    rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast(kind).alias("v"))
     sound = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
     vectors = rows.filter(sound).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
@@ -180,7 +184,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     sizes = vectors.select("dim", "v").mapInArrow(census, "dim int, cell int, n long, guests long").groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.sum("guests").alias("guests"))
     # one row per pivot, and one per odd dimension
     blocks = {(r["dim"], r["cell"]): (-(-r["n"] // limits.block), -(-r["guests"] // limits.block)) for r in sizes.collect()}
-    schema = "dim int, cell int, left int, right int, home boolean, id long, key long, n long, v array<double>"
+    schema = "dim int, cell int, left int, right int, home boolean, id long, key long, n long, v " + kind
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
