@@ -16,6 +16,10 @@ from trellis.sources.mapping import MappingStore, Rule, TermMap
 from trellis.sparql import ast as A
 
 
+#: The name of a table of edges (s, p, o), if there is one.
+_EDGES = "rdf_triples"
+
+
 @dataclass
 class Catalog:
     """Tables of a session by name; views of the mapping's queries are made when first used."""
@@ -39,10 +43,19 @@ class Catalog:
                     arguments[t] = df
                 self.views[name] = self.spark.sql(query, **arguments) if arguments else self.spark.sql(query)
             return self.views[name]
-        if self.spark.catalog.tableExists(name):
+        if name.startswith(_EDGES + " ") and (edges := self.table(_EDGES)) is not None:
+            return edges.filter(F.col("p") == name.partition(" ")[2]).select("s", "o")
+        if " " not in name and self.spark.catalog.tableExists(name):
             return self.spark.table(name)
         return None
 
+    def edge_rules(self, predicate: str) -> list[Rule]:
+        """What answers a predicate that no mapping names: the generic edge table, where there is one."""
+        edges = self.table(_EDGES)
+        if edges is None or not {"s", "p", "o"} <= set(edges.columns):
+            return []
+        return [Rule(_EDGES, f"{_EDGES} {predicate}", TermMap("column", "s"), predicate, TermMap("column", "o", "unknown"))]
+
     def usable(self, rule: Rule) -> bool:
         """Whether the table exists and has all columns that the rule names."""
         df = self.table(rule.table)

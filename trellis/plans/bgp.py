@@ -67,6 +67,8 @@ def choices(ctx: Context, pattern: A.Triple) -> list[Choice]:
         names = ctx.ontology.properties_of(predicate.value) if ctx.reasoning else [(predicate.value, False)]
         for name, inverted in names:
             add(store.rules.get(name, []), inverted)
+            if not found and not store.rules.get(name):
+                add(ctx.catalog.edge_rules(name), inverted)
     return list(found.values())
 
 

@@ -227,6 +227,21 @@ _add("fn_error_unbound", "SELECT ?p (?s / (?s - ?s) AS ?x) (?b + 1 AS ?y) WHERE
 _add("fn_now_rand_uuid", "SELECT ?r (NOW() AS ?t) (RAND() AS ?x) (STRUUID() AS ?u) WHERE { ?r v:regionName ?n }", None)
 
 
+_EDGES_SQL = "SELECT c_custkey AS s, 'http://example.org/edge/knows' AS p, c_custkey // 3 AS o FROM customer WHERE c_custkey >= 3 UNION ALL SELECT c_custkey, 'http://example.org/edge/likes', c_nationkey FROM customer"
+
+
+def _edges(e: Engine, text: str) -> DataFrame:
+    """With a generic table of edges for predicates that no mapping names."""
+    customer = e.catalog.table("customer")
+    e.register_table("rdf_triples", customer.filter("c_custkey >= 3").selectExpr("c_custkey AS s", "'http://example.org/edge/knows' AS p", "CAST(floor(c_custkey / 3) AS BIGINT) AS o").union(customer.selectExpr("c_custkey", "'http://example.org/edge/likes'", "CAST(c_nationkey AS BIGINT)")))
+    return e.query("PREFIX e: <http://example.org/edge/> " + text)
+
+
+_add("edges_triple", "SELECT ?a ?b ?n WHERE { ?a e:knows ?b . ?b e:likes ?x . ?x v:nationName ?n }", f"WITH t AS ({_EDGES_SQL}) SELECT k.s AS a, k.o AS b, n_name AS n FROM t k JOIN t l ON l.s = k.o AND l.p LIKE '%likes' JOIN nation ON n_nationkey = l.o WHERE k.p LIKE '%knows'", run=_edges)
+_add("edges_path_plus", "SELECT ?a ?b WHERE { ?a e:knows+ ?b }", f"WITH RECURSIVE t AS ({_EDGES_SQL}), r(s, o) AS (SELECT s, o FROM t WHERE p LIKE '%knows' UNION SELECT r.s, t.o FROM r JOIN t ON t.s = r.o AND t.p LIKE '%knows') SELECT s AS a, o AS b FROM r", run=_edges)
+_add("edges_path_alt", "SELECT ?a ?b WHERE { ?a (e:knows/e:likes|^e:knows) ?b }", f"WITH t AS ({_EDGES_SQL}) SELECT k.s AS a, l.o AS b FROM t k JOIN t l ON l.s = k.o AND l.p LIKE '%likes' WHERE k.p LIKE '%knows' UNION ALL SELECT o, s FROM t WHERE p LIKE '%knows'", run=_edges)
+
+
 def _udf(e: Engine, text: str) -> DataFrame:
     @F.pandas_udf(T.DoubleType())
     def tenth(x: pd.Series) -> pd.Series:
