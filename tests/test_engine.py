@@ -12,9 +12,11 @@ from tests.lending import LIB, MAPPING, OPENED, ROOT, library, volumes
 from trellis import cli
 from trellis.errors import MappingError, QueryRejected, ServiceError, UnsupportedFeature
 from trellis.functions import geo
+from trellis.functions.values import Value, constant
 from trellis.plans.cache import PlanCache
 from trellis.server import Gateway
 from trellis.sources.mapping import load_r2rml
+from trellis.sparql import ast as A
 
 
 @pytest.fixture(scope="module")
@@ -261,6 +263,23 @@ def test_geometry(name, a, b, want):
     assert geo.shape_relation(name, a, b) is want
 
 
+SHAPES = ["POLYGON((0 0,4 0,4 4,0 4,0 0),(1 1,3 1,3 3,1 3,1 1))", "POLYGON((0 0,4 0,2 1,4 4,0 0))", "LINESTRING(0 0,4 0,4 3)", "LINESTRING(0 0,2 0,2 2,0 0)", "POINT(1 1)", "BUFFER(POINT(2 2),1.5)", "BUFFER(LINESTRING(0 0,4 0),1.0)", "nonsense"]
+
+
+@pytest.mark.parametrize("wkt", SHAPES)
+def test_points_against_shapes_in_columns(spark, wkt):
+    """Column arithmetic gives what the general relation gives; other shapes in the column go to the general one."""
+    texts = [f"POINT({x / 2} {y / 2})" for x in range(-2, 11) for y in range(-2, 11)] + ["SRID=4326;POINT(2 0)", "LINESTRING(0 0,1 1)", "nothing", None]
+    df = spark.createDataFrame([(t,) for t in texts], "g string")
+    g, c = Value(F.col("g"), "string"), constant(A.Literal(wkt))
+    names = ("within", "contains", "intersects", "disjoint", "touches", "equals", "overlaps", "crosses")
+    found = df.select("g", *(geo.relate(n, g, c).alias(n) for n in names), *(geo.relate(n, c, g).alias(n + "_back") for n in names)).collect()
+    for r in found:
+        for n in names:
+            assert r[n] == geo.shape_relation(n, r["g"], wkt), (n, r["g"])
+            assert r[n + "_back"] == geo.shape_relation(n, wkt, r["g"]), (n, r["g"])
+
+
 def test_distance():
     assert geo.shape_distance("POINT(0 0)", "LINESTRING(3 -1,3 9)") == 3.0
     assert geo.shape_distance("POLYGON((0 0,2 0,2 2,0 2,0 0))", "POINT(1 1)") == 0.0

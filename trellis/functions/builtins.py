@@ -231,7 +231,7 @@ BUILTINS: dict[str, Function] = {
         # geometry
         *((f"{GEOF}sf{name}", _geo(name.lower()), 2, 2) for name in ("Within", "Contains", "Intersects", "Overlaps", "Equals", "Disjoint", "Crosses", "Touches")),
         (f"{GEOF}intersects", _geo("intersects"), 2, 2), (f"{GEOF}distance", lambda a, b, unit=None: Value(geo.distance(a, b), "double"), 2, 3),
-        (f"{GEOF}buffer", lambda g, r, unit=None: Value(geo.buffer(g, r), "string"), 2, 3),
+        (f"{GEOF}buffer", lambda g, r, unit=None: geo.buffer(g, r), 2, 3),
         ("POINT", lambda x, y: Value(F.concat(F.lit("POINT("), x.text(), F.lit(" "), y.text(), F.lit(")")), "string"), 2, 2),
     ]
 }

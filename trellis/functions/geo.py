@@ -14,7 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellis.functions.values import Value
+from trellis.functions.values import Value, constant
+from trellis.sparql import ast as A
 
 _POINT = r"^\s*(?:SRID=\d+;|<[^>]*>)?\s*POINT\s*\(\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)\s*\)\s*$"
 _BUFFER = re.compile(r"^BUFFER\((.*),([-+0-9.eE]+)\)$", re.S)
@@ -25,9 +26,11 @@ def point(wkt: Column) -> tuple[Column, Column]:
     return tuple(F.regexp_extract(F.upper(wkt), _POINT, i).try_cast("double") for i in (1, 2))
 
 
-def buffer(g: Value, radius: Value) -> Column:
+def buffer(g: Value, radius: Value) -> Value:
     """A buffered geometry, kept as its shape and radius: within it means no farther than the radius."""
-    return F.concat(F.lit("BUFFER("), g.text(), F.lit(","), radius.text(), F.lit(")"))
+    if g.constant is not None and radius.constant is not None:
+        return constant(A.Literal(f"BUFFER({g.constant.value},{float(radius.constant.value)!r})"))
+    return Value(F.concat(F.lit("BUFFER("), g.text(), F.lit(","), radius.text(), F.lit(")")), "string")
 
 
 def distance(a: Value, b: Value) -> Column:
@@ -44,10 +47,59 @@ def _is_point(x: Value) -> bool:
     return x.constant is not None and bool(re.match(_POINT, str(x.constant.value).upper()))
 
 
+#: Up to so many edges of a constant shape a point is held against it by column arithmetic.
+_MOST_EDGES = 64
+_SWAPPED = {"within": "contains", "contains": "within"}
+
+
 def relate(name: str, a: Value, b: Value) -> Column:
+    """A simple-features relation.  Points against a constant shape are column arithmetic, other pairs a vectorised UDF."""
+    for x, y, how in ((a, b, name), (b, a, _SWAPPED.get(name, name))):
+        if x.constant is None and y.constant is not None:
+            try:
+                g = shape(str(y.constant.value))
+            except (ValueError, TypeError, IndexError):
+                return F.lit(None).cast("boolean")
+            if len(_segments(g)) > _MOST_EDGES:
+                break
+            px, py = point(x.text())
+            fast = _point_relation(how, px, py, g)
+            other = F.when(px.isNull(), x.text())  # Spark hands every row to a Python UDF; where a point is, it gets nulls
+            return F.when(px.isNotNull(), fast).otherwise(_relation(how)(other, y.text()))
     return _relation(name)(a.text(), b.text())
 
 
+def _point_relation(name: str, px: Column, py: Column, g) -> Column:
+    """A relation of the point (px, py) to a constant shape."""
+    kind, rings, radius = g
+    nothing, no = F.lit(None).cast("boolean"), F.lit(False)
+    squares, parity = [], F.lit(0)
+    for x1, y1, x2, y2 in _segments((kind, rings, 0.0)).tolist():
+        dx, dy = x2 - x1, y2 - y1
+        t = F.lit(0.0) if dx == dy == 0 else F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy)))
+        ex, ey = px - x1 - t * dx, py - y1 - t * dy
+        squares.append(ex * ex + ey * ey)
+        if kind == "POLYGON" and dy:
+            parity = parity + F.when(((F.lit(y1) > py) != (F.lit(y2) > py)) & (px < (py - y1) * dx / dy + x1), 1).otherwise(0)
+    edge = F.sqrt(F.least(*squares) if len(squares) > 1 else squares[0])
+    on, inside = edge < 1e-12, parity % 2 == 1
+    if radius:
+        near = F.when(inside, 0.0).otherwise(edge) - radius <= 1e-12
+        return {"within": near, "intersects": near, "disjoint": ~near}.get(name, nothing if name != "contains" else no)
+    met = on | inside
+    if name in ("intersects", "disjoint"):
+        return met if name == "intersects" else ~met
+    if kind == "POINT":
+        return on if name in ("within", "contains", "equals") else no
+    ends = [rings[0][0], rings[0][-1]] if kind == "LINESTRING" and not np.allclose(rings[0][0], rings[0][-1]) else []
+    boundary = on if kind == "POLYGON" else no
+    for x, y in ends:
+        boundary = boundary | (on & (F.abs(px - float(x)) + F.abs(py - float(y)) < 1e-12))
+    if name == "within":
+        return met & ~boundary
+    return boundary if name == "touches" else no
+
+
 @lru_cache
 def _distance():
     @F.pandas_udf(T.DoubleType())
@@ -196,6 +248,8 @@ def shape_distance(a: str | None, b: str | None) -> float | None:
 
 def shape_relation(name: str, a: str | None, b: str | None) -> bool | None:
     """A simple-features relation; None for texts that are no geometry."""
+    if a is None or b is None:
+        return None
     try:
         x, y = shape(a), shape(b)
     except (ValueError, TypeError, AttributeError, IndexError):
