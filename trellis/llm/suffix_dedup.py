@@ -220,16 +220,21 @@ def _shard(length: int, memory: int):
             order, shared = suffix_sort(text, memory, folder, length)
             order, shared = np.asarray(order), np.asarray(shared)
         n_strings = piece_size - length + 1
-        piece_at = np.repeat(np.arange(len(begin)), piece_size + 1)
-        starts = np.arange(len(text)) - begin[piece_at] < n_strings[piece_at]
-        is_start = starts[order]
+        narrow = np.int32 if len(text) < 1 << 31 else np.int64
+        piece_at = np.repeat(np.arange(len(begin), dtype=narrow), piece_size + 1)
+        edge = np.zeros(len(text) + 1, np.int8)
+        edge[begin] += np.int8(1)
+        edge[begin + n_strings] -= np.int8(1)
+        is_start = np.cumsum(edge[:-1], dtype=np.int8).view(bool)[order]  # of the strings of a piece
         # runs of the suffix array that share ``length`` symbols; between two strings of a run all neighbours share it too
-        run = np.cumsum(shared < length)
+        run = np.cumsum(shared < length, dtype=narrow)
         at, run = order[is_start], run[is_start]
+        del order, shared, is_start, edge
         new = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         lowest = np.minimum.reduceat(least[piece_at[at]], new)
-        best = np.full(len(text), np.iinfo(np.int64).max)
+        best = np.empty(len(text), np.int64)
         best[at] = np.repeat(lowest, np.diff(np.r_[new, len(at)]))
+        del piece_at, at, run
         done = 0
         for (g, _), n in zip(pairs, counts, strict=True):
             mine = slice(done, done + n)
