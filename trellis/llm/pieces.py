@@ -10,8 +10,7 @@ Edge scores: for a unigram model the score of the piece.  A byte-pair model has
 minus infinity otherwise.  The merged segmentation is the one path without a forbidden edge, so the scan finds just what
 the library gives for the whole text; scores being 0 or minus infinity, a set of entries is a bit mask.
 
-Documents below ``giant`` characters go to the library, word by word: no piece runs on from a word into the white space
-after it, so words are encoded alike everywhere, and each worker keeps the ids of words that it has met.
+Documents below ``giant`` characters go to the library as they are.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text; rows that repeat an id are encoded each by
 itself; characters without a piece become bytes; an empty table gives an empty result; extra columns are not read.
@@ -22,7 +21,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import pickle
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -41,8 +39,7 @@ CHUNK = 1 << 14
 _BATCH = 1 << 20
 _NO = float("-inf")
 _SPACE = "\u2581"
-_WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*")
-#: Words and pairs of pieces that a worker keeps at most.
+#: Pairs of pieces that a worker keeps at most.
 _KEPT = 1 << 16
 State = tuple[int, int]  # where the covering piece begins and ends, from the cut
 
@@ -64,7 +61,6 @@ class Codec:
         self.is_unigram = any(s != int(s) for s in self.scores.values())
         self.pairs: dict[tuple[str, str], bool] = {}
         self.by_word = _SPACE in self.ids and not any(_SPACE in p.lstrip(_SPACE) for p in self.ids) and library_marks_spaces(model)
-        self.words: dict[str, tuple[int, ...]] = {}
         self.table = [b"" if model.is_control(i) else model.id_to_piece(i).replace(_SPACE, " ").encode() for i in range(n)]
         for b, i in enumerate(self.bytes or ()):
             self.table[i] = bytes([b])
@@ -92,22 +88,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[array]:
         """The library's ids of each text."""
-        if not self.by_word:
-            return [array("i", ids) for ids in self.library.encode(texts, num_threads=1)]
-        words, out = self.words, []
-        if len(words) >= _KEPT:
-            words.clear()
-        cut = [_WORD.findall(normal) if normal else [] for normal in map(self.library.normalize, texts)]
-        new = list({w for units in cut for w in units if w not in words})
-        # the library puts one mark before a text: leave one out
-        words.update(zip(new, map(tuple, self.library.encode([w[1:].replace(_SPACE, " ") for w in new], num_threads=1)), strict=True))
-        words[_SPACE] = (self.ids[_SPACE],)  # the mark alone: an empty text has no pieces
-        for units in cut:
-            ids = array("i")
-            for w in units:
-                ids.extend(words[w])
-            out.append(ids)
-        return out
+        return [array("i", ids) for ids in self.library.encode(texts, num_threads=1)]
 
     def decode(self, ids: list[int]) -> str:
         """The library's text of ids."""
