@@ -100,11 +100,18 @@ def _point_relation(name: str, px: Column, py: Column, g) -> Column:
     return boundary if name == "touches" else no
 
 
+def _each_once(f, a: pd.Series, b: pd.Series) -> list:
+    """f of each pair of a batch; equal pairs are worked out once."""
+    pairs = list(zip(a, b, strict=True))
+    known = {pair: f(*pair) for pair in dict.fromkeys(pairs)}
+    return [known[pair] for pair in pairs]
+
+
 @lru_cache
 def _distance():
     @F.pandas_udf(T.DoubleType())
     def far(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([shape_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series(_each_once(shape_distance, a, b), dtype="float64")
 
     return far
 
@@ -113,7 +120,7 @@ def _distance():
 def _relation(name: str):
     @F.pandas_udf(T.BooleanType())
     def holds(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([shape_relation(name, x, y) for x, y in zip(a, b, strict=True)], dtype="object")
+        return pd.Series(_each_once(lambda x, y: shape_relation(name, x, y), a, b), dtype="object")
 
     return holds
 
