@@ -13,6 +13,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,41 @@ def test_suffix_dedup(docs, length, gram, hot):
     assert rows == brute.suffix_rows(corpus(), length)
 
 
+def test_suffix_dedup_with_many_shards_a_bucket(docs):
+    got = suffix_dedup.dedup_suffixes(docs, hot=3, unit_bytes=1 << 10, bucket_bytes=1 << 10, shard_bytes=100)
+    rows = Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect())
+    assert rows == brute.suffix_rows(corpus(), 50)
+
+
+class _Held:
+    """Stands in for Layout and for tables of messages: keeps the functions of a run."""
+
+    n_buckets, total, carried, carried_ddl = 48, 1 << 20, [], ""
+    ask = join_ask = join = unionByName = lambda self, *given: self.held.extend(x for x in given if callable(x)) or self
+
+
+def test_suffix_unit_memory(monkeypatch):
+    """A unit whose every anchor another unit has too; peaks of its rounds in bytes for a byte of text."""
+    held = _Held()
+    held.held = []
+    monkeypatch.setattr(suffix_dedup, "Layout", lambda *_, **__: held)
+    monkeypatch.setattr(suffix_dedup, "answer", lambda messages, _: messages)
+    suffix_dedup.dedup_suffixes(None)
+    ask, send, finish = held.held
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=4000)) for _ in range(250)]
+    docs = pa.table({"g": pa.array([0] * 250, pa.int32()), "id": pa.array(range(250), pa.int64()), "text": texts})
+    got = {}
+    for _, b, _, blob in ask(docs):
+        got |= {(kind, b): reply for g, _, kind, reply in suffix_dedup._anchors(256)([(0, blob), (1, blob)], b) if g == 0}
+    for step in (lambda: list(send(docs, got)), lambda: finish(docs, got)):
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80 * 1_000_000, peak
+
+
 def test_suffix_spans_and_carry(docs):
     got = suffix_dedup.dedup_suffixes(docs.withColumn("more", F.lit("m")), carry=("more",))
     for r in got.collect():

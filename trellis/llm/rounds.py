@@ -39,8 +39,8 @@ class Layout:
         more = [df[c].alias(name) for c, name in zip(carry, self.carried, strict=True)]
         source = df.select(df[id_col].cast("long").alias("id"), text.alias("text"), *more)
         self.carried_ddl = "".join(f", `{c}` {source.schema[name].dataType.simpleString()}" for c, name in zip(carry, self.carried, strict=True))
-        total = text_bytes(source)
-        self.n_units, self.n_buckets = units(total, unit_bytes), units(total, bucket_bytes)
+        self.total = text_bytes(source)
+        self.n_units, self.n_buckets = units(self.total, unit_bytes), units(self.total, bucket_bytes)
         self.docs = source.select(F.pmod(F.xxhash64("id", "text"), F.lit(self.n_units)).cast("int").alias("g"), "id", "text", *self.carried)
 
     def ask(self, unit: Callable[[pa.Table], Iterable[Message]]) -> DataFrame:
