@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from trellis.llm import html_text, induced, jaccard, mixing, neardup, pieces, quality, queries, substring, suffix_dedup, tokens, warc
+from trellis.llm import html_text, induced, jaccard, mixing, neardup, pieces, quality, queries, rounds, substring, suffix_dedup, tokens, warc
 from trellis.llm.components import components
 from trellis.llm.induced import CAP, suffix_sort
 from trellis.llm.rounds import Layout
@@ -140,6 +140,15 @@ def test_suffix_unit_memory(monkeypatch):
         assert peak < 80 * 1_000_000, peak
 
 
+def test_suffix_messages_at_6_gb(spark, docs, monkeypatch):
+    """Every unit writes to every bucket: 6 GB of parquet files (10 GB of text) are under a million pairs."""
+    made = []
+    monkeypatch.setattr(rounds, "text_bytes", lambda *_: 10 << 30)
+    monkeypatch.setattr(suffix_dedup, "Layout", lambda *a, **k: made.append(Layout(*a, **k)) or made[-1])
+    suffix_dedup.dedup_suffixes(docs)
+    assert made[0].n_units * made[0].n_buckets < 1_000_000
+
+
 def test_suffix_spans_and_carry(docs):
     got = suffix_dedup.dedup_suffixes(docs.withColumn("more", F.lit("m")), carry=("more",))
     for r in got.collect():

@@ -300,7 +300,7 @@ def _seen(owner: np.ndarray, size: np.ndarray, data: np.ndarray, length: int, me
     return out
 
 
-def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, hot: int = 256, memory: int = 1 << 21, carry: tuple[str, ...] = (), as_text: bool = False, unit_bytes: int = 3 << 20, bucket_bytes: int = 4 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
+def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, hot: int = 256, memory: int = 1 << 21, carry: tuple[str, ...] = (), as_text: bool = False, unit_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, shard_bytes: int = 3 << 20) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept (binary), spans (removed runs of bytes).
 
     Columns named in ``carry`` follow; ``as_text``: kept as a string, without the bytes of cut characters.  ``length`` at most CAP; ``hot``: the occurrences from which an anchor is split; ``memory``: entries that
