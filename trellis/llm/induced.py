@@ -143,9 +143,9 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int = CAP, wide:
         most = np.minimum(n - np.maximum(a, b), cap).astype(np.int16)
         for j in range(0, cap, 8):
             x = wide[np.minimum(a[live] + j, n)] ^ wide[np.minimum(b[live] + j, n)]
-            low = x & (~x + np.uint64(1))
-            same = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) >> 3)
-            out[live] += same.astype(np.int16)
+            below = (x & (~x + np.uint64(1))) - np.uint64(1)  # ones up to the first bit that differs, all if none does
+            same = (np.bitwise_count(below) >> 3).astype(np.int16)
+            out[live] += same
             live = live[(same == 8) & (out[live] < most[live])]
             if not len(live):
                 break
@@ -212,7 +212,9 @@ class _Pass:
             value = None
             if self.carry is not None:
                 last = int(at[-1])
-                value = np.minimum.reduceat(lcp[: last + 1], np.r_[0, at[:-1] + 1])
+                since = np.zeros(j - i, np.int64)
+                since[1:] = at[:-1] + 1
+                value = np.minimum.reduceat(lcp[: last + 1], since)
                 value[0] = min(int(value[0]), int(old[t])) if self.begun[t] else -1
                 value = np.minimum(value + 1, self.cap).astype(np.int16)
                 self.begun[t] = True
@@ -354,9 +356,13 @@ def _lms_order(text: np.ndarray, lms: np.ndarray, space: Space, sigma: int, wide
     del order
     # names: adjacent substrings are equal if they have equal symbols up to and with the next leftmost-S position
     names, name, last = space.array(m, np.int64), -1, None
+    index = None  # of each position in lms, where that fits the budget
+    if n <= space.memory:
+        index = np.empty(n, lms.dtype)
+        index[lms] = np.arange(m, dtype=lms.dtype)
     for i, j in space.chunks(0, m):
         pos = np.asarray(ranked[i:j]) if last is None else np.r_[last[0], ranked[i:j]]
-        of = np.searchsorted(lms, pos)
+        of = np.searchsorted(lms, pos) if index is None else index[pos]
         after = np.where(of + 1 < m, lms[np.minimum(of + 1, m - 1)], n)
         length = after - pos
         a, b = pos[:-1], pos[1:]
